@@ -90,10 +90,10 @@ def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix(out + (ends - starts).astype(U64))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> Words:
-    """Words of the rows; ``fold`` reads A to Z as a to z."""
+def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True, word_bytes: np.ndarray = _IS_WORD) -> Words:
+    """Words of the rows; ``fold`` reads A to Z as a to z, ``word_bytes`` says which bytes make words."""
     n = len(data)
-    inside = _IS_WORD[data]
+    inside = word_bytes[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     closes = inside.copy()
