@@ -131,23 +131,75 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
     return materialize(both.where(ok).select("u", "v"), f"{name}-links")
 
 
+def _compare_blocks(percent: int):
+    """Links between the members of one sub-key's two blocks, but those of one component or of an earlier sub-key."""
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        at, _, left, right = (k.as_py() for k in key)
+        node, root, size, block = (table.column(c).to_numpy() for c in ("node", "root", "n_shingles", "block"))
+        a, b = (table.column(c).combine_chunks().flatten().to_numpy().reshape(len(node), -1) for c in ("a", "b"))
+        items = table.column("items").combine_chunks()
+        sets = [items[r].values.to_numpy() for r in range(len(items))]
+        parent = {r: r for r in root.tolist()}
+
+        def find(r):
+            while parent[r] != r:
+                parent[r] = parent[parent[r]]
+                r = parent[r]
+            return r
+
+        found = []
+        mine, others = np.flatnonzero(block == left), np.flatnonzero(block == right)
+        for x in mine:
+            near = others[others > x] if left == right else others
+            near = near[(root[near] != root[x]) & (100 * np.minimum(size[near], size[x]) >= percent * np.maximum(size[near], size[x]))]
+            near = near[(b[near] == b[x]).any(axis=1) & ~(a[near, :at] == a[x, :at]).any(axis=1)]
+            for y in near:
+                if find(root[x]) == find(root[y]):
+                    continue
+                short, long = (sets[x], sets[y]) if len(sets[x]) <= len(sets[y]) else (sets[y], sets[x])
+                common = int((long[np.minimum(np.searchsorted(long, short), len(long) - 1)] == short).sum())
+                if 100 * common >= percent * (len(short) + len(long) - common):
+                    parent[find(root[x])] = find(root[y])
+                    found.append((int(node[x]), int(node[y])))
+        return pa.table({"u": pa.array([f[0] for f in found], pa.int64()), "v": pa.array([f[1] for f in found], pa.int64())})
+
+    return compare
+
+
+def _live_keys(nodes: DataFrame) -> DataFrame:
+    """Table keys of the nodes: each pair of a first and a second sub-key that other nodes have too.
+
+    Two nodes meet in a table if they agree in both of its sub-keys, so a
+    sub-key that one node has alone can be left out before pairs are formed.
+    """
+    each = nodes.select("node", F.explode(F.concat(F.transform("a", lambda k, i: F.struct(F.lit(0).alias("side"), i.alias("i"), k.alias("k"))), F.transform("b", lambda k, i: F.struct(F.lit(1).alias("side"), i.alias("i"), k.alias("k"))))).alias("s")).select("node", "s.*")
+    common = each.groupBy("side", "i", "k").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    live = materialize(each.join(common, ["side", "i", "k"]), "sub-keys")
+    first = live.where("side = 0").select("node", F.col("i"), F.col("k").alias("ka"))
+    second = live.where("side = 1").select("node", F.col("i").alias("j"), F.col("k").alias("kb"))
+    return first.join(second, "node").select(F.xxhash64("i", "j", "ka", "kb").alias("key"), "node")
+
+
 def near_duplicates(
-    docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 10, rows: int = 2
+    docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 12, rows: int = 3, block_items: int = 500_000
 ) -> DataFrame:
     """Group documents whose shingle sets have a Jaccard similarity of ``percent`` or more.
 
     Tensored banding: two collections of ``bands`` sub-keys, each of ``rows``
     minima, are paired into ``bands ** 2`` table keys, so 2 * bands * rows
     minima serve tables of 2 * rows minima each. A pair at the threshold of
-    0.8 meets in no table with a chance of about 7e-5 by default; links in
-    groups hang on many pairs. Every meeting is confirmed on the full sets.
+    0.8 meets in no table with a chance of 4e-4 by default, at 0.85 of 5e-5;
+    links within groups hang on many pairs. Every link is confirmed on the
+    full sets.
 
     Documents with one and the same set collapse into one node first, so
     copies cost one row each. In a bucket, members are compared with its
-    least node; pairs left in different components are then counted, and
-    either listed or, while they would be too many, met by further centres,
-    until no bucket holds two components with an uncompared pair. No pair
-    is given up, and none within a component needs comparing.
+    least node. Where a bucket then still holds two components, its nodes
+    are compared with each other, each pair at the first sub-key it shares
+    and only across components, in blocks of about ``block_items`` shingles;
+    a block pair is one task's work, whatever the size of the group. So no
+    pair is given up, and none within a component needs comparing.
 
     Words and folding: runs of non-white-space, A to Z read as a to z. Texts
     with fewer words than ``shingle`` count as one shingle. Null, empty or
@@ -171,44 +223,35 @@ def near_duplicates(
         .agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("a").alias("a"), F.any_value("b").alias("b")),
         "nodes",
     )
-    keys = (
-        nodes.select("node", "b", F.posexplode("a").alias("i", "ka"))
-        .select("node", "i", "ka", F.posexplode("b").alias("j", "kb"))
-        .select(F.xxhash64("i", "j", "ka", "kb").alias("key"), "node")
-    )
+    keys = materialize(_live_keys(nodes), "keys")
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1")
     buckets = materialize(keys.join(shared.select("key", "centre"), "key"), "buckets")
     pairs = buckets.where("node != centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct()
     links = _verified(pairs, nodes, docs, shingle, percent, "star")
     roots = materialize(components(links), "roots")
-    left = buckets.where("node != centre").select("key", "node")
-    step = 0
-    while True:
-        labelled = left.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        per = labelled.groupBy("key", "root").agg(F.count("*").alias("c"))
-        mixed = per.groupBy("key").agg(F.count("*").alias("k"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q")).where("k > 1")
-        live = materialize(labelled.join(mixed.select("key"), "key", "left_semi"), "live")
-        total = mixed.agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
-        if not total["pairs"]:
-            break
-        if total["pairs"] <= 4 * total["rows"]:
-            other = live.select("key", F.col("node").alias("v"), F.col("root").alias("other"))
-            pairs = live.join(other, "key").where("root < other").select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
-            left = None
-        else:
-            centred = live.groupBy("key").agg(F.min(F.struct("node", "root")).alias("c"))
-            met = live.join(centred, "key").where("node != c.node")
-            pairs = met.where("root != c.root").select(F.col("c.node").alias("u"), F.col("node").alias("v")).distinct()
-            left = met.select("key", "node")
-        links = links.unionByName(_verified(pairs, nodes, docs, shingle, percent, f"round{step}"))
-        roots = materialize(components(links), "roots")
-        step += 1
-        if left is None:
-            break
-    member = signed.select("doc_id", "node", "n_shingles").join(
-        nodes.select("node", "rep").join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root")), "node", "left"
+
+    labelled = buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+    open_nodes = labelled.join(mixed.select("key"), "key", "left_semi").select("node", "root").distinct()
+    live = materialize(open_nodes.join(nodes, "node"), "live")
+    sets = materialize(_sets_of(docs, live.select("node", "rep"), shingle), "live-sets")
+    rows_of = live.select("node", "root", "n_shingles", "a", "b", F.posexplode("a").alias("at", "sub"))
+    plan = rows_of.groupBy("at", "sub").agg(F.sum("n_shingles").alias("items"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+    plan = plan.select("at", "sub", F.ceil(F.col("items") / block_items).cast("int").alias("blocks"))
+    spread = (
+        rows_of.join(plan, ["at", "sub"])
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("at", "sub", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "node", "root", "n_shingles", "a", "b", "block")
+        .join(sets, "node")
     )
-    least = nodes.select("node", "rep").join(roots, "node").groupBy("root").agg(F.min("rep").alias("least"))
-    named = member.join(least, "root", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("least", "rep"))
-    return named.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    more = spread.groupBy("at", "sub", "left", "right").applyInArrow(_compare_blocks(percent), "u long, v long")
+    links = links.unionByName(materialize(more, "block-links"))
+    roots = materialize(components(links), "roots")
+
+    named = nodes.select("node", "rep").join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
+    least = named.groupBy("root").agg(F.min("rep").alias("least"))
+    group_of = named.join(least, "root").select("node", "least")
+    member = signed.select("doc_id", "node", "n_shingles").join(group_of, "node", "left")
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least"))
+    return member.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -6,17 +6,52 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.llm import ann, language_id, mixing, packing, spotsigs
 from lodestone.llm._shared import documents_of
 from lodestone.llm.minhash import near_duplicates
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Path of a public tokenizer's vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents_of(spark, sf_dir), weights=(5, 2, 1), share=1.5, cap=2)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents_of(spark, sf_dir), vocabulary(), window=4096, end_id=2, with_ids=False)
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents_of(spark, sf_dir), shingle=2, percent=80)
 
 
+def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(documents_of(spark, sf_dir))
+
+
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents_of(spark, sf_dir)
+    return language_id.identify(docs, language_id.fit(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": op1_mixing,
+        "op4_packing": op4_packing,
         "op5_minhash": op5_minhash,
+        "op8_spotsigs": op8_spotsigs,
+        "op9_ann": op9_ann,
+        "op10_language_id": op10_language_id,
     }
 
 
