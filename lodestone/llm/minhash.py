@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._shared import materialize
+from lodestone.llm._shared import materialize, row_key
 from lodestone.llm.components import components
 from lodestone.llm.textarrays import mix, shingle_sets, text_bytes
 
@@ -55,8 +55,14 @@ def _signer(shingle: int, bands: int, rows: int):
                 first.append(key[0])
                 second.append(key[1])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.array(nodes, U64).view(np.int64)), pa.array(sizes, pa.int64()), _longs(first), _longs(second)],
-                ["doc_id", "node", "n_shingles", "a", "b"],
+                [
+                    *(batch.column(c) for c in ("doc_id", "_k1", "_k2")),
+                    pa.array(np.array(nodes, U64).view(np.int64)),
+                    pa.array(sizes, pa.int64()),
+                    _longs(first),
+                    _longs(second),
+                ],
+                ["doc_id", "_k1", "_k2", "node", "n_shingles", "a", "b"],
             )
 
     return sign
@@ -182,7 +188,7 @@ def _live_keys(nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 12, rows: int = 3, block_items: int = 500_000
+    docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 12, rows: int = 3, block_items: int = 500_000, with_keys: bool = False
 ) -> DataFrame:
     """Group documents whose shingle sets have a Jaccard similarity of ``percent`` or more.
 
@@ -209,11 +215,11 @@ def near_duplicates(
     columns of ``docs`` are not read. An empty table gives an empty result.
 
     Returns doc_id, n_shingles, component_id (the least id of the group) and
-    kept (doc_id is component_id).
+    kept (doc_id is component_id), and with ``with_keys`` the row key.
     """
     signed = materialize(
-        docs.select("doc_id", "text").mapInArrow(
-            _signer(shingle, bands, rows), "doc_id long, node long, n_shingles long, a array<long>, b array<long>"
+        docs.select("doc_id", "text", *row_key("doc_id", "text")).mapInArrow(
+            _signer(shingle, bands, rows), "doc_id long, _k1 long, _k2 long, node long, n_shingles long, a array<long>, b array<long>"
         ),
         "minhash",
     )
@@ -252,6 +258,13 @@ def near_duplicates(
     named = nodes.select("node", "rep").join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("least"))
     group_of = named.join(least, "root").select("node", "least")
-    member = signed.select("doc_id", "node", "n_shingles").join(group_of, "node", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least"))
-    return member.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    member = signed.select("doc_id", "_k1", "_k2", "node", "n_shingles").join(group_of, "node", "left")
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
+    found = member.select("doc_id", "n_shingles", component, "_k1", "_k2").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return found if with_keys else found.drop("_k1", "_k2")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without the documents that ``near_duplicates`` does not keep: one of each group stays."""
+    found = near_duplicates(docs, shingle, percent, with_keys=True).where(~F.col("kept")).select("_k1", "_k2")
+    return docs.select("*", *row_key("doc_id", "text")).join(found, ["_k1", "_k2"], "left_anti").select(*docs.columns)

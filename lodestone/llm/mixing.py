@@ -6,10 +6,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm._shared import materialize
+from lodestone.llm._shared import materialize, row_key
 
 _CAP = 2.0
 
@@ -104,7 +104,7 @@ def _round_cells(cap: int):
     return run
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, with_keys: bool = False) -> DataFrame:
     """Give every document a number of copies so that its source's words come near its target.
 
     Entropy balancing: among all rates from 0 to ``cap`` that meet each
@@ -129,7 +129,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
     Returns doc_id, source, size, source_size, target, rate, copies and taken.
     """
-    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("h")), "sizes")
+    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *row_key("doc_id", "text")), "sizes")
     cells = materialize(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
     totals = {r["source"]: r for r in cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("size"), F.sum("n").alias("n")).collect()}
     sizes = {s: r["size"] for s, r in totals.items()}
@@ -145,22 +145,32 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     counted = cells.withColumnRenamed("n", "cell_n").join(whole.select(F.col("source").alias("s2"), F.col("size").alias("size2"), "copies"), F.col("source").eqNullSafe(F.col("s2")) & (F.col("size") == F.col("size2"))).select("source", "size", "cell_n", "copies")
     shares = materialize(counted.withColumn("buckets", F.ceil(F.col("cell_n") / 4096)), "shares")
     mine = shares.select(F.col("source").alias("s2"), F.col("size").alias("size2"), "cell_n", F.col("copies").alias("cell_copies"), "buckets")
-    placed = sized.join(mine, F.col("source").eqNullSafe(F.col("s2")) & (F.col("size") == F.col("size2"))).withColumn("bucket", F.pmod(F.xxhash64("h", F.lit("bucket")), F.col("buckets")))
+    placed = sized.join(mine, F.col("source").eqNullSafe(F.col("s2")) & (F.col("size") == F.col("size2"))).withColumn("bucket", F.pmod(F.xxhash64("_k1", F.lit("bucket")), F.col("buckets")))
     by_size = ["source", "size"]
     per = placed.groupBy(*by_size, "bucket").agg(F.count("*").alias("m"), F.any_value("cell_n").alias("cell_n"), F.any_value("cell_copies").alias("cell_copies"))
-    from pyspark.sql import Window
-
     upto = F.sum("m").over(Window.partitionBy(*by_size).orderBy("bucket"))
     # exact integer prefix shares: the buckets' copies add up to the size's
     even = lambda c: F.floor(c.cast("decimal(20,0)") * F.col("cell_copies").cast("decimal(18,0)") / F.col("cell_n")).cast("long")
     dealt = per.withColumn("upto", upto).select(
         F.col("source").alias("s2"), F.col("size").alias("size2"), F.col("bucket").alias("b2"), "m", (even(F.col("upto")) - even(F.col("upto") - F.col("m"))).alias("bucket_copies")
     )
-    joined = placed.select("doc_id", "source", "size", "h", "bucket").join(
+    joined = placed.select("doc_id", "source", "size", "_k1", "_k2", "bucket").join(
         dealt, F.col("source").eqNullSafe(F.col("s2")) & (F.col("size") == F.col("size2")) & (F.col("bucket") == F.col("b2"))
     )
-    place = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("h", "doc_id"))
+    place = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("_k1", "_k2"))
     base = F.floor(F.col("bucket_copies") / F.col("m"))
     copies = (base + (F.col("place") <= F.col("bucket_copies") - base * F.col("m")).cast("long")).cast("long")
     final = joined.withColumn("place", place).withColumn("copies", copies).join(plan, F.col("source").eqNullSafe(F.col("s")))
-    return final.select("doc_id", "source", "size", "source_size", "target", rate.alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    names = ["doc_id", "source", "size", "source_size", "target", rate.alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken")]
+    return final.select(*names, *(["_k1", "_k2"] if with_keys else []))
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as many times as ``mix`` gives it."""
+    dealt = mix(docs, weights, share, cap, with_keys=True).groupBy("_k1", "_k2").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    keyed = docs.select("*", *row_key("doc_id", "text"))
+    # equal rows share their copies evenly; the window and the join need one shuffle
+    each = keyed.withColumn("_row", F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("_k1"))).join(dealt, ["_k1", "_k2"])
+    base = F.floor(F.col("_copies") / F.col("_rows"))
+    copies = (base + (F.col("_row") <= F.col("_copies") - base * F.col("_rows")).cast("long")).cast("int")
+    return each.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)

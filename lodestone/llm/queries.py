@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import ann, language_id, mixing, packing, spotsigs
+from lodestone.llm import ann, language_id, linededup, merkle, mixing, packing, secrets, sharding, spotsigs
 from lodestone.llm._shared import documents_of
 from lodestone.llm.minhash import near_duplicates
 
@@ -22,6 +23,15 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents_of(spark, sf_dir), weights=(5, 2, 1), share=1.5, cap=2)
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = [f"shard-{k:03d}" for k in range(64)]
+    return sharding.place(documents_of(spark, sf_dir).select("doc_id"), shards)
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(documents_of(spark, sf_dir).select("doc_id", "text"), least_words=50)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents_of(spark, sf_dir), vocabulary(), window=4096, end_id=2, with_ids=False)
 
@@ -30,6 +40,18 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents_of(spark, sf_dir), shingle=2, percent=80)
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents_of(spark, sf_dir), scope=256)
+
+
+def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits a replica of ``pages`` in which some records rotted and some were lost."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rotten = F.when(F.col("page_id") % 50 == 7, F.concat(F.lit("#"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))
+    replica = merkle.manifest(pages.withColumn("html", rotten)).where("page_id % 211 != 3")
+    return merkle.audit(merkle.manifest(pages), replica)
+
+
 def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(documents_of(spark, sf_dir))
 
@@ -47,8 +69,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op2_sharding": op2_sharding,
+        "op3_line_dedup": op3_line_dedup,
         "op4_packing": op4_packing,
         "op5_minhash": op5_minhash,
+        "op6_secrets": op6_secrets,
+        "op7_merkle": op7_merkle,
         "op8_spotsigs": op8_spotsigs,
         "op9_ann": op9_ann,
         "op10_language_id": op10_language_id,
