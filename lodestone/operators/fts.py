@@ -7,12 +7,14 @@ rows. A persisted posting table is a separate operator (``postings``).
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,33 +69,47 @@ class Near:
     phrases: list[Phrase]
     distance: int
 
-    def _starts(self, text: Column, phrase: Phrase) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - len(phrase.text) + 1))
-        return F.filter(places, lambda i: F.substring(text, i, F.lit(len(phrase.text))) == phrase.text)
+    def counts(self, text: Column) -> Column:
+        """For each phrase how many of its instances stand in a group that is near enough.
 
-    def taking_part(self, text: Column, which: int) -> Column:
-        """Instances of a phrase that stand in a group near enough: all begin at or before the last one's begin, none ends too early."""
-        reach = [len(p.text) - 2 + self.distance for p in self.phrases]
-        starts = [self._starts(text, p) for p in self.phrases]
-        lasts = F.concat(*starts)
-
-        def within(last: Column, reached: int):
-            return lambda start: (start <= last) & (start >= last - reached)
-
-        def in_group(last: Column) -> Column:
-            ok = F.lit(True)
-            for begun, reached in zip(starts, reach, strict=True):
-                ok = ok & F.exists(begun, within(last, reached))
-            return ok
-
-        full = F.filter(lasts, in_group)
-        return F.filter(starts[which], lambda s: F.exists(full, lambda last: (s <= last) & (s >= last - reach[which])))
+        A group has an instance of every phrase; with the last begin among
+        them at L, each one ends, in trigram positions, at most ``distance``
+        before L. This needs all places of all phrases at once, which nested
+        column functions would find anew for every place.
+        """
+        return near_counter([p.text for p in self.phrases], self.distance)(text)
 
     def match(self, text: Column) -> Column:
         all_there = F.lit(True)
         for phrase in self.phrases:
             all_there = all_there & phrase.match(text)
-        return F.when(all_there, F.size(self.taking_part(text, 0)) > 0).otherwise(F.lit(False))
+        return all_there & (self.counts(text)[0] > 0)
+
+
+def near_counter(phrases: list[str], distance: int):
+    def places(text: str, phrase: str) -> list[int]:
+        out, at = [], text.find(phrase)
+        while at >= 0:
+            out.append(at)
+            at = text.find(phrase, at + 1)
+        return out
+
+    def count(text: str) -> list[int]:
+        found = [places(text, p) for p in phrases]
+        reach = [len(p) - 2 + distance for p in phrases]
+        part: list[set[int]] = [set() for _ in phrases]
+        for last in {x for f in found for x in f}:
+            spans = [f[bisect.bisect_left(f, last - r) : bisect.bisect_right(f, last)] for f, r in zip(found, reach, strict=True)]
+            if all(spans):
+                for mine, span in zip(part, spans, strict=True):
+                    mine.update(span)
+        return [len(p) for p in part]
+
+    @F.pandas_udf("array<int>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: count(t) if t is not None else [0] * len(phrases))
+
+    return run
 
 
 @dataclass
@@ -297,8 +313,8 @@ def scored_phrases(tree, text: Column, gate: Column | None = None) -> list[tuple
     if isinstance(tree, Without):
         return scored_phrases(tree.left, text, gate & matches(tree, text))
     if isinstance(tree, Near):
-        inner = gate & tree.match(text)
-        return [(p, F.when(inner, F.size(tree.taking_part(text, k)).cast("double")).otherwise(0.0)) for k, p in enumerate(tree.phrases)]
+        counts = tree.counts(text)
+        return [(p, F.when(gate, counts[k].cast("double")).otherwise(0.0)) for k, p in enumerate(tree.phrases)]
     return [(tree, F.when(gate & tree.match(text), tree.count(text)).otherwise(0.0))]
 
 
