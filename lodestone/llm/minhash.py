@@ -138,41 +138,60 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
 
 
 def _compare_blocks(percent: int):
-    """Links between the members of one sub-key's two blocks, but those of one component or of an earlier sub-key."""
+    """Links between the members of a sub-key's two blocks, but those of one component or of an earlier sub-key.
 
-    def compare(key: tuple, table: pa.Table) -> pa.Table:
-        at, _, left, right = (k.as_py() for k in key)
-        node, root, size, block = (table.column(c).to_numpy() for c in ("node", "root", "n_shingles", "block"))
+    A table holds some whole block pairs. Within one, a text's shingles are
+    marked once and all others' marks are summed, so a pair costs additions.
+    """
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in ("at", "sub", "left", "right")])
+        at, sub, left, right, node, root, size, block = (
+            table.column(c).to_numpy() for c in ("at", "sub", "left", "right", "node", "root", "n_shingles", "block")
+        )
         a, b = (table.column(c).combine_chunks().flatten().to_numpy().reshape(len(node), -1) for c in ("a", "b"))
         items = table.column("items").combine_chunks()
-        sets = [items[r].values.to_numpy() for r in range(len(items))]
-        parent = {r: r for r in root.tolist()}
-
-        def find(r):
-            while parent[r] != r:
-                parent[r] = parent[parent[r]]
-                r = parent[r]
-            return r
-
+        edges = np.append(0, np.cumsum(items.value_lengths().to_numpy()))
+        flat = items.flatten().to_numpy()
+        fresh = np.zeros(len(node), bool)
+        fresh[:1] = True
+        for column in (at, sub, left, right):
+            fresh[1:] |= column[1:] != column[:-1]
+        starts = np.flatnonzero(fresh)
         found = []
-        mine, others = np.flatnonzero(block == left), np.flatnonzero(block == right)
-        for x in mine:
-            near = others[others > x] if left == right else others
-            near = near[(root[near] != root[x]) & (100 * np.minimum(size[near], size[x]) >= percent * np.maximum(size[near], size[x]))]
-            near = near[(b[near] == b[x]).any(axis=1) & ~(a[near, :at] == a[x, :at]).any(axis=1)]
-            for y in near:
-                if find(root[x]) == find(root[y]):
-                    continue
-                short, long = (sets[x], sets[y]) if len(sets[x]) <= len(sets[y]) else (sets[y], sets[x])
-                common = int((long[np.minimum(np.searchsorted(long, short), len(long) - 1)] == short).sum())
-                if 100 * common >= percent * (len(short) + len(long) - common):
-                    parent[find(root[x])] = find(root[y])
-                    found.append((int(node[x]), int(node[y])))
+        for begin, end in zip(starts, np.append(starts[1:], len(node)), strict=True):
+            if end - begin > 1 and root[begin:end].min() != root[begin:end].max():
+                part = slice(begin, end)
+                local = np.unique(flat[edges[begin] : edges[end]], return_inverse=True)[1]
+                offsets = edges[begin : end + 1] - edges[begin]
+                sides = np.flatnonzero(block[part] == left[begin]), np.flatnonzero(block[part] == right[begin])
+                found += [(node[begin + x], node[begin + y]) for x, y in _links(at[begin], root[part], size[part], a[part], b[part], local, offsets, sides, percent)]
         return pa.table({"u": pa.array([f[0] for f in found], pa.int64()), "v": pa.array([f[1] for f in found], pa.int64())})
 
     return compare
 
 
+def _links(at: int, root, size, a, b, local, offsets, sides, percent: int) -> Iterator[tuple[int, int]]:
+    mark = np.zeros(int(local.max()) + 1, np.int32)
+    mine, others = sides
+    same_block = mine is others or (len(mine) == len(others) and bool((mine == others).all()))
+    for x in mine:
+        near = others[others > x] if same_block else others
+        near = near[(root[near] != root[x]) & (100 * np.minimum(size[near], size[x]) >= percent * np.maximum(size[near], size[x]))]
+        near = near[(b[near] == b[x]).any(axis=1) & ~(a[near, :at] == a[x, :at]).any(axis=1)]
+        if not len(near):
+            continue
+        own = local[offsets[x] : offsets[x + 1]]
+        mark[own] = 1
+        if len(near) < 8:
+            common = np.array([mark[local[offsets[y] : offsets[y + 1]]].sum() for y in near])
+        else:
+            common = np.add.reduceat(mark[local], offsets[:-1])[near]
+        mark[own] = 0
+        for y in near[100 * common >= percent * (size[near] + size[x] - common)]:
+            yield x, y
+
+
 def _live_keys(nodes: DataFrame) -> DataFrame:
     """Table keys of the nodes: each pair of a first and a second sub-key that other nodes have too.
 
@@ -188,7 +207,7 @@ def _live_keys(nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 12, rows: int = 3, block_items: int = 500_000, with_keys: bool = False
+    docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 12, rows: int = 3, block_items: int = 100_000, with_keys: bool = False
 ) -> DataFrame:
     """Group documents whose shingle sets have a Jaccard similarity of ``percent`` or more.
 
@@ -204,8 +223,8 @@ def near_duplicates(
     least node. Where a bucket then still holds two components, its nodes
     are compared with each other, each pair at the first sub-key it shares
     and only across components, in blocks of about ``block_items`` shingles;
-    a block pair is one task's work, whatever the size of the group. So no
-    pair is given up, and none within a component needs comparing.
+    block pairs are dealt to tasks in bins of about as many shingles, whatever
+    the size of a group. So no pair is given up, and none within a component needs comparing.
 
     Words and folding: runs of non-white-space, A to Z read as a to z. Texts
     with fewer words than ``shingle`` count as one shingle. Null, empty or
@@ -243,15 +262,18 @@ def near_duplicates(
     sets = materialize(_sets_of(docs, live.select("node", "rep"), shingle), "live-sets")
     rows_of = live.select("node", "root", "n_shingles", "a", "b", F.posexplode("a").alias("at", "sub"))
     plan = rows_of.groupBy("at", "sub").agg(F.sum("n_shingles").alias("items"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-    plan = plan.select("at", "sub", F.ceil(F.col("items") / block_items).cast("int").alias("blocks"))
+    plan = plan.select("at", "sub", "items", F.ceil(F.col("items") / block_items).cast("int").alias("blocks"))
+    plan = materialize(plan, "block-plan")
+    bins = max(1, -(-(plan.agg(F.sum(F.col("items") * F.col("blocks"))).first()[0] or 0) // block_items))
     spread = (
-        rows_of.join(plan, ["at", "sub"])
+        rows_of.join(plan.drop("items"), ["at", "sub"])
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("at", "sub", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "node", "root", "n_shingles", "a", "b", "block")
         .join(sets, "node")
     )
-    more = spread.groupBy("at", "sub", "left", "right").applyInArrow(_compare_blocks(percent), "u long, v long")
+    dealt = spread.withColumn("bin", F.pmod(F.xxhash64("at", "sub", "left", "right"), F.lit(bins)))
+    more = dealt.groupBy("bin").applyInArrow(_compare_blocks(percent), "u long, v long")
     links = links.unionByName(materialize(more, "block-links"))
     roots = materialize(components(links), "roots")
 
