@@ -42,7 +42,8 @@ def normalize(vector: Column) -> Column:
 
 
 def distance_to_score(distance: Column) -> Column:
-    return F.when(F.isnan(distance), F.lit(0.0)).otherwise(1 / (1 + F.greatest(distance, F.lit(0.0))))
+    """1 / (1 + distance); 0 for NaN, null for null (``greatest`` would pass over a null)."""
+    return F.when(distance.isNull(), F.lit(None).cast("double")).when(F.isnan(distance), F.lit(0.0)).otherwise(1 / (1 + F.greatest(distance, F.lit(0.0))))
 
 
 def hybrid_score(fts_rank: Column, vec_distance: Column) -> Column:
