@@ -181,10 +181,12 @@ def identify(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFram
     could be learned. Repeated rows get equal results, ties go to the first
     language by code point. Null ids are carried along and never held out.
     An empty table gives an empty result. Returns doc_id, held_out,
-    lang_pred and score, or with ``keep_text`` all of ``docs`` and the last two.
+    lang_pred and score, or with ``keep_text`` all of ``docs`` and the last
+    two, which replace columns of these names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     if keep_text:
+        docs = docs.drop("lang_pred", "score", "_keep_text")
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
         marked = docs.withColumn("_keep_text", F.lit(1))
         return marked.mapInArrow(_predictor(shared), f"{schema}, _keep_text int, lang_pred string, score double").drop("_keep_text")

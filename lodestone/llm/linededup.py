@@ -165,15 +165,15 @@ def dedup_lines(docs: DataFrame, least_words: int = 50) -> DataFrame:
 
     A null text stays null, with no lines; an empty one has one empty line.
     Rows with the same id and text are one document and get the same result.
-    Null ids come first. All columns of ``docs`` are kept (but ``n_lines``,
-    ``removed_lines`` and names that begin with an underscore are replaced).
+    Null ids come first. All columns of ``docs`` are kept (but ``n_lines``
+    and ``removed_lines`` are replaced, and ``_k1``, ``_k2`` and ``_runs`` dropped).
     An empty table gives an empty result. Lines of any length work; a
     document's lines are held at once.
 
     Returns ``docs`` with the remaining text, n_lines and removed_lines
     (numbers of the lines that went, from 0).
     """
-    names = [f for f in docs.schema.names if f not in ("n_lines", "removed_lines") and not f.startswith("_")]
+    names = [f for f in docs.schema.names if f not in ("n_lines", "removed_lines", "_k1", "_k2", "_runs")]
     windows = repeated_windows(docs, least_words)
     runs = windows.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("start", "lines")).alias("_runs"))
     keyed = docs.select(*names, *row_key("doc_id", "text"))

@@ -288,5 +288,6 @@ def near_duplicates(
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the documents that ``near_duplicates`` does not keep: one of each group stays."""
+    docs = docs.drop("_k1", "_k2")
     found = near_duplicates(docs, shingle, percent, with_keys=True).where(~F.col("kept")).select("_k1", "_k2")
     return docs.select("*", *row_key("doc_id", "text")).join(found, ["_k1", "_k2"], "left_anti").select(*docs.columns)

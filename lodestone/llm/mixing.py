@@ -167,6 +167,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as many times as ``mix`` gives it."""
+    docs = docs.drop("_k1", "_k2", "_copies", "_rows", "_row", "_copy")
     dealt = mix(docs, weights, share, cap, with_keys=True).groupBy("_k1", "_k2").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
     keyed = docs.select("*", *row_key("doc_id", "text"))
     # equal rows share their copies evenly; the window and the join need one shuffle
