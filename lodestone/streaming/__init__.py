@@ -1,0 +1 @@
+"""The search engine has no streaming operators; an index is brought up to date by incremental runs (``plans/index.py``)."""

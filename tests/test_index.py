@@ -98,3 +98,20 @@ def test_session_roots(tmp_path):
     for roots in ([], [str(tmp_path / "none")], [str(tmp_path / "x.txt")]):
         with pytest.raises(ValueError):
             sessions.session_files(roots)
+
+
+def test_command_line(spark, tree, tmp_path, capsys):
+    from lodestone import cli
+
+    path = str(tmp_path / "cli")
+    assert cli.main(["index", "--index", path, "--root", tree, "--exclude", "^archive/", "--dim", "8"], spark) == 0
+    assert json.loads(capsys.readouterr().out)["excluded"] == 1
+    cli.main(["search", "--index", path, "--pattern", "beta", "--json"], spark)
+    found = json.loads(capsys.readouterr().out)
+    assert [r["snippet"] for r in found] == ["beta text"] and found[0]["source"] == "fts"
+    cli.main(["search", "--index", path, "--query", "alpha", "--dim", "8", "--limit", "2"], spark)
+    assert len(capsys.readouterr().out.strip().splitlines()) == 2
+    cli.main(["info", "--index", path], spark)
+    assert json.loads(capsys.readouterr().out)["files"] == 4
+    cli.main(["files", "--index", path], spark)
+    assert "a.md" in capsys.readouterr().out
