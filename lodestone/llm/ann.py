@@ -56,14 +56,54 @@ class Quantiser:
         codes = [_nearest(rest[:, a:b], book) for (a, b), book in zip(self.spans, self.codebooks, strict=True)]
         return cells, np.stack(codes, axis=1).astype(np.uint8)
 
+    def cell_order(self, q: np.ndarray) -> np.ndarray:
+        """Cells of each query, nearest first."""
+        half = (self.coarse * self.coarse).sum(axis=1) / 2
+        return np.argsort(half - q @ self.coarse[:, :-1].T, axis=1, kind="stable")
+
     def probes(self, q: np.ndarray, least: int, counts: np.ndarray, wanted: int) -> list[np.ndarray]:
         """Cells for each query, nearest first: ``least`` of them, or more until they hold ``wanted`` vectors."""
-        half = (self.coarse * self.coarse).sum(axis=1) / 2
-        order = np.argsort(half - q @ self.coarse[:, :-1].T, axis=1, kind="stable")
+        order = self.cell_order(q)
         filled = np.cumsum(counts[order], axis=1)
         need = np.maximum((filled < wanted).sum(axis=1) + 1, least)
         return [o[:n][counts[o[:n]] > 0] for o, n in zip(order, need, strict=True)]
 
+    def needed_probes(self, sample: np.ndarray, k: int, recall: float, asked: int = 256) -> int:
+        """Cells to probe so that the sample's own nearest rows are in them with the given share.
+
+        The sample is thinner than the whole, so its neighbours lie farther
+        away and the number errs on the large side.
+        """
+        cells = _nearest(self.lifted(sample), self.coarse)
+        q = np.linspace(0, len(sample) - 1, min(asked, len(sample))).astype(int)
+        near = sample[q] @ sample.T
+        near[np.arange(len(q)), q] = -np.inf
+        k = min(k, len(sample) - 1)
+        if k < 1:
+            return 1
+        true = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        order = self.cell_order(sample[q])
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.broadcast_to(np.arange(order.shape[1]), order.shape), axis=1)
+        ranks = np.sort(np.take_along_axis(place, cells[true], axis=1).ravel())
+        return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))]) + 1
+
+
+def bins_of(counts: np.ndarray, block: int) -> list[list[int]]:
+    """Bins of each cell: small cells share bins of about ``block`` vectors, large ones are spread over several."""
+    out, current, filled = [], 0, 0
+    for count in counts.tolist():
+        if count > block:
+            pieces = -(-count // block)
+            out.append(list(range(current + 1, current + 1 + pieces)))
+            current, filled = current + 1 + pieces, 0
+            continue
+        if filled + count > block and filled:
+            current, filled = current + 1, 0
+        out.append([current])
+        filled += count
+    return out
+
 
 def train(sample: np.ndarray, lift: float, cells: int, parts: int, seed: int = 9) -> Quantiser:
     random = np.random.default_rng(seed)
@@ -97,16 +137,24 @@ def _indexer(model, dim: int):
     return run
 
 
-def _prober(model, dim: int, least: int, counts, wanted: int):
+def _prober(model, dim: int, least: int, counts: np.ndarray, wanted: int, bins: list[list[int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, len(batch), 1024):
                 part = batch.slice(begin, 1024)
-                cells = model.value.probes(_matrix(part.column("embedding"), dim), least, counts, wanted)
-                rows = pa.array(np.repeat(np.arange(len(part)), [len(c) for c in cells]))
+                rows, places, cells = [], [], []
+                for r, probed in enumerate(model.value.probes(_matrix(part.column("embedding"), dim), least, counts, wanted)):
+                    by_bin: dict[int, list[int]] = {}
+                    for cell in probed.tolist():
+                        for place in bins[cell]:
+                            by_bin.setdefault(place, []).append(cell)
+                    rows += [r] * len(by_bin)
+                    places += by_bin
+                    cells += by_bin.values()
+                taken = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(cells).astype(np.int32)), part.column("query_id").take(rows), part.column("embedding").take(rows)],
-                    ["cell", "query_id", "embedding"],
+                    [pa.array(places, pa.int32()), part.column("query_id").take(taken), pa.array(cells, pa.list_(pa.int32())), part.column("embedding").take(taken)],
+                    ["bin", "query_id", "cells", "embedding"],
                 )
 
     return run
@@ -129,17 +177,20 @@ def _searcher(model, dim: int, keep: int, rerank: int):
             x = _matrix(vectors.column("embedding").combine_chunks(), dim)
             codes = np.frombuffer(b"".join(vectors.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
             q = _matrix(queries.column("embedding").combine_chunks(), dim)
+            known, cell = np.unique(vectors.column("cell").to_numpy(), return_inverse=True)
+            probed = np.zeros((len(q), len(known)), bool)
+            for r, cells in enumerate(queries.column("cells").to_pylist()):
+                probed[r, np.searchsorted(known, cells)[np.isin(cells, known)]] = True
+            centres = m.coarse[known, :-1]
             for begin in range(0, len(q), 64):
                 part = q[begin : begin + 64]
-                # the share of the coarse centre is the same for the whole cell and changes no order in it
-                near = np.zeros((len(part), len(ids)), np.float32)
+                near = (part @ centres.T).astype(np.float32)[:, cell]
                 for j, ((a, b), book) in enumerate(zip(m.spans, m.codebooks, strict=True)):
                     near += (part[:, a:b] @ book.T).astype(np.float32)[:, codes[:, j]]
+                near[~probed[begin : begin + 64][:, cell]] = -np.inf
                 for r, row in enumerate(near):
-                    if len(ids) > rerank:
-                        some = np.flatnonzero(row >= np.partition(row, len(row) - rerank)[len(row) - rerank])
-                    else:
-                        some = np.arange(len(ids))
+                    least = np.partition(row, len(row) - rerank)[len(row) - rerank] if len(ids) > rerank else -np.inf
+                    some = np.flatnonzero((row >= least) & (row > -np.inf))
                     scores = _inner(x[some], part[r])
                     best = np.lexsort((ids[some], -scores))[:keep]
                     found["query_id"].append(np.full(len(best), queries.column("query_id")[begin + r].as_py()))
@@ -156,25 +207,29 @@ def search(
     queries: DataFrame,
     k: int = 20,
     cell_size: int = 256,
-    probe: int = 24,
-    rerank: int = 128,
+    probe: int = 8,
+    recall: float = 0.97,
+    rerank: int = 768,
     parts: int = 16,
     max_sample: int = 32768,
-    block: int = 4096,
+    block: int = 8192,
 ) -> DataFrame:
     """The ``k`` rows of ``vectors`` with the largest inner product for each row of ``queries``, but itself.
 
     Both have vec_id and embedding; a query leaves out the vector of its own
     id. The quantiser is fitted on at most ``max_sample`` rows (least hash of
     vec_id); every row is indexed. There are n / ``cell_size`` cells, an
-    eighth of the sample at most. A query reads ``probe`` cells, or more
-    until they hold enough rows. In a cell, asymmetric distance tables pick
-    the ``rerank`` best codes and all that tie with the last of them; these
-    are scored on the original vectors in double precision.
-
-    Equal query vectors are searched once. Cells of more than ``block``
-    vectors or probes are split into blocks of both, so no task holds more,
-    whatever the skew. To the driver come the sample and counts by cell.
+    eighth of the sample at most. A query reads ``probe`` cells, or as many
+    as the sample's own neighbours need for the wanted ``recall``, and more
+    until they hold enough rows. Cells are searched in bins of about
+    ``block`` vectors: in a bin, asymmetric distance tables pick the
+    ``rerank`` best codes of the query's cells and all that tie with the last
+    of them; these are scored on the original vectors in double precision.
+
+    Equal query vectors are searched once. A cell of more than ``block``
+    vectors is spread over bins, and a bin's queries are split into blocks,
+    so no task holds more, whatever the skew. To the driver come the sample
+    and counts by cell and by bin.
 
     Vectors that are null, zero, of another length than most, or hold null
     or non-finite parts take no part, as rows or queries; nor do null ids.
@@ -209,37 +264,33 @@ def search(
     if not drawn.num_rows:
         drawn = rows.limit(1).select("embedding").toArrow()
     sample = _matrix(drawn.column(0).combine_chunks(), dim)
-    model = spark.sparkContext.broadcast(train(sample, total["lift"], max(1, min(n // cell_size, len(sample) // 8)), parts))
+    made = train(sample, total["lift"], max(1, min(n // cell_size, len(sample) // 8)), parts)
+    probe = max(probe, made.needed_probes(sample, k, recall))
+    model = spark.sparkContext.broadcast(made)
 
     index = materialize(rows.mapInArrow(_indexer(model, dim), "cell int, vec_id long, codes binary, embedding array<double>"), "index")
-    counts = np.zeros(len(model.value.coarse), np.int64)
+    counts = np.zeros(len(made.coarse), np.int64)
     for row in index.groupBy("cell").count().collect():
         counts[row["cell"]] = row["count"]
+    bins = bins_of(counts, block)
 
     asked = materialize(valid(queries), "asked")
     distinct = asked.groupBy("embedding").agg(F.min("vec_id").alias("query_id"))
-    probes = materialize(
-        distinct.select("query_id", "embedding").mapInArrow(_prober(model, dim, probe, counts, k + 1), "cell int, query_id long, embedding array<double>"), "probes"
-    )
-    chunks = np.maximum(1, -(-counts // block))
-    askers = np.zeros(len(counts), np.int64)
-    for row in probes.groupBy("cell").count().collect():
-        askers[row["cell"]] = row["count"]
-    asks = np.maximum(1, -(-askers // block))
-    split = spark.createDataFrame([(c, int(chunks[c]), int(asks[c])) for c in range(len(counts))], "cell int, chunks int, asks int")
+    prober = _prober(model, dim, probe, counts, k + 1, bins)
+    probes = materialize(distinct.select("query_id", "embedding").mapInArrow(prober, "bin int, query_id long, cells array<int>, embedding array<double>"), "probes")
+    asks = {row["bin"]: -(-row["count"] // block) for row in probes.groupBy("bin").count().collect()}
+    cells = spark.createDataFrame([(c, places) for c, places in enumerate(bins)], "cell int, bins array<int>")
+    split = spark.createDataFrame([(b, asks.get(b, 0)) for b in sorted({x for places in bins for x in places})], "bin int, asks int").where("asks > 0")
+    piece = F.pmod(F.xxhash64("vec_id"), F.size("bins")).cast("int")
     left = (
-        index.join(F.broadcast(split), "cell")
-        .withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int"))
+        index.join(F.broadcast(cells), "cell")
+        .withColumn("bin", F.element_at("bins", piece + 1))
+        .join(F.broadcast(split), "bin")
         .withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)))
-        .select("cell", "chunk", "ask", "vec_id", "codes", "embedding")
-    )
-    right = (
-        probes.join(F.broadcast(split), "cell")
-        .withColumn("ask", F.pmod(F.xxhash64("query_id"), F.col("asks")).cast("int"))
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("cell", "chunk", "ask", "query_id", "embedding")
+        .select("bin", "ask", "cell", "vec_id", "codes", "embedding")
     )
-    key = ["cell", "chunk", "ask"]
+    right = probes.join(F.broadcast(split), "bin").withColumn("ask", F.pmod(F.xxhash64("query_id"), F.col("asks")).cast("int")).select("bin", "ask", "query_id", "cells", "embedding")
+    key = ["bin", "ask"]
     near = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_searcher(model, dim, k + 1, rerank), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     top = near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
