@@ -23,8 +23,8 @@ ANCHORS = (
     "al como con del el ella ese esta este las lo los más no para pero por su sus una uno y"
 ).split()
 
-#: Words at the head of a text that anchor a spot each, whatever they are.
-_HEAD = 64
+#: A text with fewer anchored spots is filled up to about so many by word pairs from its whole length.
+_FEW = 16
 
 _WORD_BYTES = np.zeros(256, bool)
 _WORD_BYTES[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -50,16 +50,20 @@ def _spots(hashes: np.ndarray, anchor: np.ndarray, chain: int) -> np.ndarray:
     out = hashes[anchors]
     for k in range(chain):
         out = mix(out * U64(0x2545F4914F6CDD1D) + hashes[content[first + k]])
-    # each of the first words anchors the word after it, so that short texts have spots enough to compare
-    early = min(len(hashes), _HEAD + 1)
-    pairs = mix(mix(hashes[: early - 1] + U64(1)) * U64(0x2545F4914F6CDD1D) + hashes[1:early])
-    single = mix(hashes[content[content < _HEAD]] + U64(2))
     # the head of the text anchors a chain too, so a text of any words has a spot
     head = U64(len(ANCHORS))
     lead = mix(np.array([head]))
     for h in hashes[content[:chain] if len(content) else anchors[:chain] if len(anchors) else slice(0, chain)]:
         lead = mix(lead * U64(0x2545F4914F6CDD1D) + h)
-    return distinct((np.concatenate([out, lead, pairs, single]) >> U64(32)).astype(np.uint32))
+    spots = distinct((np.append(out, lead) >> U64(32)).astype(np.uint32))
+    if len(spots) >= _FEW or len(hashes) < 2:
+        return spots
+    # the pairs of least hash: texts that differ little in their number of spots or words draw mostly the same ones
+    pairs = distinct(mix(mix(hashes[:-1] + U64(1)) * U64(0x2545F4914F6CDD1D) + hashes[1:]))
+    lacking = _FEW - len(spots)
+    if lacking < len(pairs):
+        pairs = pairs[pairs < U64((lacking << 64) // len(pairs))]
+    return distinct(np.append(spots, (mix(pairs) >> U64(32)).astype(np.uint32)))
 
 
 def spot_sets(texts: pa.Array, chain: int) -> list[np.ndarray]:
@@ -181,9 +185,10 @@ def fingerprints(docs: DataFrame, chain: int = 2, parts: int | None = None) -> D
     """Fingerprint each text and its edited text, and compare them and the next document's.
 
     A spot is an anchor (a common word of ``ANCHORS``) with the ``chain``
-    content words after it; the head of a text is an anchor too, and of its
-    first 64 words each anchors the next one and, if it is a content word,
-    itself, as short texts hold few common words. Words are
+    content words after it; the head of a text is an anchor too. Where that
+    makes fewer than 16 spots, pairs of adjacent words from anywhere in the
+    text, drawn by their hash, fill them up to about 16 (all pairs if the
+    text has no more), as short texts hold few common words. Words are
     runs of letters and digits of ASCII and of all other characters, A to Z
     folded. A fingerprint is the set of 32-bit spots, written in order, so
     equal texts have equal fingerprints; likeness is the Jaccard similarity.

@@ -172,3 +172,21 @@ def test_pruned_jaccard():
     a, b = np.array([1, 2, 3], np.uint32), np.array([2, 3, 4, 5, 6, 7, 8], np.uint32)
     assert spotsigs.pruned_jaccard(a, b) == 2 / 8 and spotsigs.pruned_jaccard(a, b, 0.5) == 0.0
     assert spotsigs.pruned_jaccard(a[:0], b) == 0.0 and spotsigs.pruned_jaccard(a[:0], b[:0]) == 1.0
+
+
+def mixed_words(seed, n):
+    """Words of which about two fifths are anchors."""
+    rng = random.Random(seed)
+    return [rng.choice(spotsigs.ANCHORS) if rng.random() < 0.4 else f"c{rng.randrange(10**6)}" for _ in range(n)]
+
+
+def test_fingerprints_read_the_whole_text_alike():
+    """The head of a text weighs as much as any other part, with common words and without them."""
+    like = lambda *texts: spotsigs.pruned_jaccard(*spotsigs.spot_sets(pa.array([" ".join(t) for t in texts]), 2))
+    for n in (200, 240, 280, 320):
+        heads, bodies = [mixed_words(k, 64) for k in (1, 2)], [mixed_words(k, n) for k in (3, 4)]
+        assert like(heads[0] + bodies[0], heads[1] + bodies[0]) > 0.5
+        assert like(heads[0] + bodies[0], heads[0] + bodies[1]) < 0.25
+    for texts in ([mixed_words(k, 400) for k in range(40)], [[f"x{k}y{p}" for p in range(400)] for k in range(40)]):
+        quarters = [[like(t, t[:a] + [f"z{k}w{p}" for p in range(100)] + t[a + 100 :]) for k, t in enumerate(texts)] for a in (0, 100, 200, 300)]
+        assert all(0.5 < np.mean(q) < 0.8 for q in quarters), [np.mean(q) for q in quarters]
