@@ -64,9 +64,10 @@ def scan(docs: DataFrame, scope: int = 256) -> DataFrame:
     or endpoint a secret (weak, assigned or hexadecimal). Parts that overlap
     a base span are that span's and are not reported again.
 
-    Linking is an interval join: parts are keyed by document and by pieces
-    of ``scope`` code points, complements reach into the next pieces too,
-    and a semi join keeps each part once, however many complements it has.
+    Linking is an interval join: parts are keyed by document and by each of
+    the pieces of ``scope`` code points that they cover, complements reach
+    into the next pieces too, and a semi join keeps a part once a piece,
+    however many complements it has; the pieces of a part are then one again.
     Parts do not overlap, so a piece holds few of them in any document.
 
     A null text is empty and has no spans. Rows with the same id and text are
@@ -97,7 +98,8 @@ def scan(docs: DataFrame, scope: int = 256) -> DataFrame:
         & (F.size("id") + F.size("access") + F.size("endpoint") > 0)
     )
     weak = F.filter(F.concat("secret", "id", "endpoint"), lambda w: ~F.exists(base, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    asking = some.select("_k1", "_k2", F.explode(weak).alias("s")).withColumn("piece", F.floor(F.col("s.start") / scope))
+    pieces = F.sequence(F.floor(F.col("s.start") / scope), F.floor(F.col("s.end") / scope))
+    asking = some.select("_k1", "_k2", F.explode(weak).alias("s")).withColumn("piece", F.explode(pieces))
     wants = F.when(F.col("s.kind") == "linked_secret", F.lit("part")).otherwise(F.lit("secret"))
     giving = (
         some.select("_k1", "_k2", F.explode(F.concat(base, weak)).alias("g"))

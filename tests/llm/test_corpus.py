@@ -154,6 +154,26 @@ def test_secrets(spark, docs, none):
     assert secrets.scan(docs).count() == docs.count() and secrets.scan(none).count() == 0
 
 
+def test_long_parts_are_linked_at_every_alignment(spark):
+    """Against linking by distance alone: a long part and its complement after or before it, about the scope apart."""
+    scope, rows = 64, []
+    for size in (40, 100, 347, 2000):
+        blob = ("Ab1xY9" * size)[:size]
+        url = "https://h.example/" + "p/" * (size // 2)
+        for pad in range(scope):
+            for gap in (1, scope // 2, scope - 1, scope, scope + 1):
+                dots = ". " * (pad // 2) + "." * (pad % 2) + " "
+                space = " " * gap
+                texts = (f"{dots}{blob}{space}user=alice1", f"{dots}user=alice1{space}{blob}", f"{dots}{url}{space}{blob[:40]}", f"{dots}{blob}{space}AKIA{'Q' * 16}")
+                rows += [(len(rows) + k, text, gap <= scope) for k, text in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, near boolean")
+    got = {r.doc_id: r for r in secrets.scan(docs.select("doc_id", "text"), scope=scope).collect()}
+    for k, text, near in rows:
+        weak = 1 if "AKIA" in text else 2
+        assert got[k].n_linked == (weak if near else 0), (text[:80], len(text), got[k].spans)
+        assert got[k].spans.count("linked") == got[k].n_linked
+
+
 def test_fixity(spark):
     rows = [(k, f"http://h/{k}", None if k == 5 else f"<p>{k}</p>" * (k % 900)) for k in range(400)] + [(7, "http://h/7", "again"), (None, None, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("level", F.lit("clash"))
