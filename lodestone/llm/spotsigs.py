@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm._shared import materialize, row_key
 from lodestone.llm.textarrays import distinct, mix, slices, text_bytes, words
 
 U64 = np.uint64
@@ -212,3 +213,68 @@ def fingerprints(docs: DataFrame, chain: int = 2, parts: int | None = None) -> D
         _reader(chain, 2 << 20),
         "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_spots long",
     )
+
+
+def _length_bounds(least: float) -> list[int]:
+    """Least lengths of the partitions: sets as alike as ``least`` are of one partition or of neighbouring ones."""
+    bounds = [1]
+    while bounds[-1] < 1 << 31:
+        bounds.append(max(int(bounds[-1] / least) + 1, bounds[-1] * 21 // 20))
+    return bounds
+
+
+def _alike(least: float):
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [[np.frombuffer(bytes.fromhex(p.as_py()), ">u4").astype(np.uint32) for p in batch.column(c)] for c in ("left", "right")]
+            likeness = pa.array([pruned_jaccard(a, b, least) for a, b in zip(*sides, strict=True)], pa.float64())
+            found = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("near_id"), likeness], ["doc_id", "near_id", "likeness"])
+            yield found.filter(pa.array(likeness.to_numpy() >= least))
+
+    return compare
+
+
+def near_pairs(prints: DataFrame, least: float = 0.5) -> DataFrame:
+    """All pairs of documents whose fingerprints have a Jaccard similarity of ``least`` (above 0, at most 1) or more.
+
+    ``prints`` has doc_id and a fingerprint as of ``fingerprints``. Sets are
+    partitioned by length, so that a set meets those of its own partition
+    and of the next; within it two sets meet if they share one of their
+    rarest spots, of which alike sets must share one, and if their lengths
+    allow the likeness. Those that meet are compared in full, so no pair is
+    lost and none is wrong.
+
+    Documents of one fingerprint are a group, under its least doc_id: each
+    other id of it makes one row with that id (likeness 1), and groups that
+    are alike make one row of their least ids, not one for each two members.
+    Empty fingerprints are a group of their own, a null fingerprint makes no
+    row, and null ids count only in a group that has no other. An empty
+    table gives an empty result.
+
+    Returns doc_id, near_id and likeness.
+    """
+    rows = prints.where(F.col("fingerprint").isNotNull()).select("doc_id", "fingerprint", *row_key("fingerprint"))
+    key = ["_k1", "_k2"]
+    rows = materialize(rows, "prints")
+    sets = rows.groupBy(*key).agg(F.min("doc_id").alias("least_id"), F.min("fingerprint").alias("print"))
+    sets = materialize(sets.withColumn("n", (F.length("print") / 8).cast("int")), "sets")
+    copies = rows.select(*key, "doc_id").distinct().join(sets.select(*key, "least_id"), key).where("doc_id != least_id")
+    spots = sets.select(*key, "n", F.explode(F.regexp_extract_all("print", F.lit(".{8}"), F.lit(0))).alias("spot"))
+    ranked = spots.join(spots.groupBy("spot").agg(F.count("*").alias("often")), "spot")
+    ranked = ranked.groupBy(*key, "n").agg(F.array_sort(F.collect_list(F.struct("often", "spot"))).alias("ranked"))
+    first = F.slice("ranked", F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-6).cast("int") + 1)
+    bounds = F.array(*map(F.lit, _length_bounds(least)))
+    partition = F.size(F.filter(bounds, lambda b: b <= F.col("n")))
+    first = materialize(ranked.select(*key, "n", partition.alias("part"), F.explode(first).alias("s")).select(*key, "n", "part", "s.spot"), "rarest")
+    a = first.withColumn("part", F.explode(F.array("part", F.col("part") + 1))).alias("a")
+    order = F.struct("a.n", "a._k1", "a._k2") < F.struct("b.n", "b._k1", "b._k2")
+    allowed = F.col("a.n") >= F.col("b.n") * least - 1e-6
+    met = a.join(first.alias("b"), (F.col("a.spot") == F.col("b.spot")) & (F.col("a.part") == F.col("b.part")) & order & allowed)
+    met = met.select(*(F.col(f"{t}.{k}").alias(f"{t}{k}") for t in "ab" for k in key)).distinct()
+    for t, name, ids in (("a", "left", "doc_id"), ("b", "right", "near_id")):
+        met = met.join(sets.select(*(F.col(k).alias(f"{t}{k}") for k in key), F.col("print").alias(name), F.col("least_id").alias(ids)), [f"{t}{k}" for k in key])
+    near = met.select("doc_id", "near_id", "left", "right").mapInArrow(_alike(least), "doc_id long, near_id long, likeness double")
+    swap = F.coalesce(F.col("doc_id") > F.col("near_id"), F.lit(False))
+    lower, higher = F.when(swap, F.col("near_id")).otherwise(F.col("doc_id")), F.when(swap, F.col("doc_id")).otherwise(F.col("near_id"))
+    near = near.select(lower.alias("doc_id"), higher.alias("near_id"), "likeness")
+    return near.unionByName(copies.select(F.col("least_id").alias("doc_id"), F.col("doc_id").alias("near_id"), F.lit(1.0).alias("likeness")))

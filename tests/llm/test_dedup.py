@@ -190,3 +190,35 @@ def test_fingerprints_read_the_whole_text_alike():
     for texts in ([mixed_words(k, 400) for k in range(40)], [[f"x{k}y{p}" for p in range(400)] for k in range(40)]):
         quarters = [[like(t, t[:a] + [f"z{k}w{p}" for p in range(100)] + t[a + 100 :]) for k, t in enumerate(texts)] for a in (0, 100, 200, 300)]
         assert all(0.5 < np.mean(q) < 0.8 for q in quarters), [np.mean(q) for q in quarters]
+
+
+@pytest.mark.parametrize("least", [0.3, 0.5, 0.8, 1.0])
+def test_near_pairs_equal_brute_force(spark, docs, none, least):
+    """Near copies that are far apart by id, sets of one and of many spots, copies, empty sets and null ids."""
+    rng = random.Random(3)
+    rows = [(r.doc_id, r.fingerprint) for r in spotsigs.fingerprints(docs.where("doc_id IS NOT NULL OR text != 'one'")).select("doc_id", "fingerprint").collect()]
+    for k in range(60):
+        base = random.Random(k % 7).sample(range(400), (1, 3, 10, 20, 40, 90, 91)[k % 7])
+        kept = [s for s in base if rng.random() < rng.choice([1, 0.9, 0.7])] + rng.sample(range(400, 500), rng.randrange(1 + len(base) // 2))
+        rows.append((1000 + 17 * k % 61, spotsigs.as_text(np.sort(np.array(kept, np.uint32)))))
+    rows += [(2000, None), (None, "0000000a"), (None, "0000000a0000000b")]
+    groups = {}
+    for doc_id, text in rows:
+        if text is not None:
+            groups.setdefault(text, set()).add(doc_id)
+    name = {text: min(ids - {None}, default=None) for text, ids in groups.items()}
+    want = [(name[t], d, 1.0) for t, ids in groups.items() for d in ids - {None, name[t]}]
+    texts = sorted(groups)
+    sets = {t: {t[p : p + 8] for p in range(0, len(t), 8)} for t in texts}
+    for i, t in enumerate(texts):
+        for u in texts[:i]:
+            both = len(sets[t] & sets[u])
+            likeness = both / (len(sets[t]) + len(sets[u]) - both)
+            if likeness >= least:
+                want.append((*sorted((name[t], name[u]), key=lambda d: (d is not None, d or 0)), likeness))
+    order = lambda r: tuple((x is not None, x or 0) for x in r)
+    pairs = spotsigs.near_pairs(spark.createDataFrame(rows, "doc_id long, fingerprint string"), least).collect()
+    got = [(*sorted((r.doc_id, r.near_id), key=lambda d: (d is not None, d or 0)), r.likeness) for r in pairs]
+    assert sorted(got, key=order) == sorted(want, key=order) and len(got) > 5
+    assert all(r.doc_id < r.near_id for r in pairs if None not in (r.doc_id, r.near_id))
+    assert spotsigs.near_pairs(spotsigs.fingerprints(none), least).count() == 0
