@@ -131,7 +131,8 @@ def _indexer(model, dim: int):
             at = (np.arange(len(batch) + 1) * width).astype(np.int32)
             packed = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(codes))])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cells.astype(np.int32)), batch.column("vec_id"), packed, batch.column("embedding")], ["cell", "vec_id", "codes", "embedding"]
+                [pa.array(cells.astype(np.int32)), batch.column("vec_id"), batch.column("times"), packed, batch.column("embedding")],
+                ["cell", "vec_id", "times", "codes", "embedding"],
             )
 
     return run
@@ -170,10 +171,10 @@ def _inner(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 def _searcher(model, dim: int, keep: int, rerank: int):
     def search(vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        found: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+        found: dict[str, list] = {"query_id": [], "vec_id": [], "times": [], "score": []}
         if vectors.num_rows and queries.num_rows:
             m = model.value
-            ids = vectors.column("vec_id").to_numpy()
+            ids, times = vectors.column("vec_id").to_numpy(), vectors.column("times").to_numpy()
             x = _matrix(vectors.column("embedding").combine_chunks(), dim)
             codes = np.frombuffer(b"".join(vectors.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
             q = _matrix(queries.column("embedding").combine_chunks(), dim)
@@ -195,8 +196,9 @@ def _searcher(model, dim: int, keep: int, rerank: int):
                     best = np.lexsort((ids[some], -scores))[:keep]
                     found["query_id"].append(np.full(len(best), queries.column("query_id")[begin + r].as_py()))
                     found["vec_id"].append(ids[some[best]])
+                    found["times"].append(times[some[best]])
                     found["score"].append(scores[best])
-        kinds = {"query_id": np.int64, "vec_id": np.int64, "score": np.float64}
+        kinds = {"query_id": np.int64, "vec_id": np.int64, "times": np.int64, "score": np.float64}
         return pa.table({k: np.concatenate([np.zeros(0, kinds[k]), *v]).astype(kinds[k]) for k, v in found.items()})
 
     return search
@@ -233,7 +235,8 @@ def search(
 
     Vectors that are null, zero, of another length than most, or hold null
     or non-finite parts take no part, as rows or queries; nor do null ids.
-    Ties go to the smaller vec_id. A repeated row counts once for each time.
+    Ties go to the smaller vec_id. A repeated row is searched once and counts
+    once for each time; those of the query's own id take no neighbour's place.
     Further columns are not read; empty tables give an empty result.
 
     Returns query_id, rank (from 1), vec_id and score, at most ``k`` rows a query.
@@ -268,15 +271,19 @@ def search(
     probe = max(probe, made.needed_probes(sample, k, recall))
     model = spark.sparkContext.broadcast(made)
 
-    index = materialize(rows.mapInArrow(_indexer(model, dim), "cell int, vec_id long, codes binary, embedding array<double>"), "index")
+    once = rows.groupBy("vec_id", "embedding").agg(F.count("*").alias("times")).select("vec_id", "times", "embedding")
+    index = materialize(once.mapInArrow(_indexer(model, dim), "cell int, vec_id long, times long, codes binary, embedding array<double>"), "index")
     counts = np.zeros(len(made.coarse), np.int64)
     for row in index.groupBy("cell").count().collect():
         counts[row["cell"]] = row["count"]
     bins = bins_of(counts, block)
 
     asked = materialize(valid(queries), "asked")
-    distinct = asked.groupBy("embedding").agg(F.min("vec_id").alias("query_id"))
-    prober = _prober(model, dim, probe, counts, k + 1, bins)
+    # an id may stand on several vectors; a query leaves out all of its own
+    own = index.join(asked.select("vec_id").distinct(), "vec_id", "left_semi").groupBy("vec_id").count().agg(F.max("count").alias("most")).first()["most"]
+    keep = k + (own or 0)
+    distinct = asked.select("embedding").distinct().withColumn("query_id", F.xxhash64("embedding"))
+    prober = _prober(model, dim, probe, counts, keep, bins)
     probes = materialize(distinct.select("query_id", "embedding").mapInArrow(prober, "bin int, query_id long, cells array<int>, embedding array<double>"), "probes")
     asks = {row["bin"]: -(-row["count"] // block) for row in probes.groupBy("bin").count().collect()}
     cells = spark.createDataFrame([(c, places) for c, places in enumerate(bins)], "cell int, bins array<int>")
@@ -287,15 +294,16 @@ def search(
         .withColumn("bin", F.element_at("bins", piece + 1))
         .join(F.broadcast(split), "bin")
         .withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)))
-        .select("bin", "ask", "cell", "vec_id", "codes", "embedding")
+        .select("bin", "ask", "cell", "vec_id", "times", "codes", "embedding")
     )
     right = probes.join(F.broadcast(split), "bin").withColumn("ask", F.pmod(F.xxhash64("query_id"), F.col("asks")).cast("int")).select("bin", "ask", "query_id", "cells", "embedding")
     key = ["bin", "ask"]
-    near = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_searcher(model, dim, k + 1, rerank), "query_id long, vec_id long, score double")
+    near = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_searcher(model, dim, keep, max(rerank, keep)), "query_id long, vec_id long, times long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    top = near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
+    top = near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= keep)
 
     members = asked.join(distinct.withColumnRenamed("query_id", "group"), "embedding").select("group", F.col("vec_id").alias("query_id"))
     each = members.distinct().join(top.withColumnRenamed("query_id", "group"), "group").where("query_id != vec_id")
     rank = F.row_number().over(best)
+    each = each.withColumn("time", F.explode(F.sequence(F.lit(1), F.least("times", F.lit(k)).cast("int"))))
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

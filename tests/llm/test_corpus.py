@@ -220,6 +220,21 @@ def test_neighbours(spark):
     assert ann.search(few.limit(0), few, 20).count() == 0 and ann.search(few, few.limit(0), 20).count() == 0
 
 
+def test_repeated_query_rows_leave_room_for_neighbours(spark):
+    """Rows of a query's own id, as copies and on other vectors, against all inner products."""
+    x = np.random.default_rng(8).normal(size=(200, 8))
+    rows = [(v, x[v]) for v in range(200)] + [(0, x[0])] * 50 + [(20, x[20] + 0.01 * t) for t in range(30)] + [(7, x[7])] * 3
+    vectors = spark.createDataFrame([(v, e.tolist()) for v, e in rows], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.search(vectors, vectors.where("vec_id IN (0, 7, 40)"), 20, probe=64).collect():
+        got[r.query_id].append((r.rank, r.vec_id, round(r.score, 9)))
+    for q in (0, 7, 40):
+        scores = sorted(((-float(x[q] @ e), v) for v, e in rows if v != q))[:20]
+        assert sorted(got[q]) == [(i, v, round(-s, 9)) for i, (s, v) in enumerate(scores, 1)], q
+    twice = ann.search(vectors, vectors.where("vec_id = 20"), 20, probe=64).groupBy("rank").count().count()
+    assert twice == 20
+
+
 def test_language(spark, none):
     rng = random.Random(4)
     parts = {"en": ["the", "ing", "tion", "of"], "de": ["sch", "ung", "der", "ü"], "fr": ["eau", "é", "oi", "que"]}
