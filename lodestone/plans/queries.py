@@ -160,7 +160,9 @@ def _hybrid(kind: str, query: str) -> Query:
 
 def multi_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _chunks(spark, sf_dir)
-    indexes = {lang: (chunks.where(F.col("lang") == lang), None) for lang in ("de", "en", "es", "fr")}
+    named = ("de", "en", "es", "fr")
+    indexes = {lang: (chunks.where(F.col("lang") == lang), None) for lang in named}
+    indexes["other"] = (chunks.where(F.col("lang").isNull() | ~F.col("lang").isin(*named)), None)
     found = plan.search_many(indexes, plan.resolve(query=LITERAL, mode="fts"), limit=10)
     return found.select("db_path", "chunk_id", _score("score"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as tx
 from lodestone.functions import vectors as vx
 from lodestone.operators import catalog, fts, vector
+from lodestone.plans import queries
 from lodestone.plans import search as plan
 
 
@@ -143,6 +144,15 @@ def test_many_indexes_merge_by_score(chunks, vectors):
     assert {r.source for r in got} == {"vec"}
 
 
+def test_rows_of_any_language_are_in_an_index(spark, tmp_path):
+    langs = ["de", "en", None, "ja", "", "fr", None, "EN"]
+    rows = [(k, f"text {k} has the thing that is asked for", lang, "a", 40) for k, lang in enumerate(langs)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.multi_index_merge(spark, str(tmp_path)).collect()
+    assert len(found) == len(langs) and len({r.chunk_id for r in found}) == len(langs)
+    assert sorted(r.db_path for r in found) == ["de", "en", "fr"] + ["other"] * 5
+
+
 def test_text_functions(spark):
     row = spark.createDataFrame([("a \n b" + " x" * 100,)], "t string").select(tx.snippet(F.col("t")).alias("s")).first()
     assert len(row.s) == 160 and row.s.endswith("...") and row.s.startswith("a b x")
