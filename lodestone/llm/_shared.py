@@ -7,6 +7,8 @@ import os
 import shutil
 import uuid
 
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,15 +34,21 @@ def scratch_root(spark: SparkSession) -> str:
     return f"file://{root}"
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, deleted at exit at the latest."""
+    path = f"{scratch_root(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     This cuts lineage: after it a lost executor costs a reread, not a rerun,
     and values that depend on task numbering stay as they were written.
     """
-    path = f"{scratch_root(df.sparkSession)}/lodestone-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -51,20 +59,54 @@ def written() -> list[str]:
 
 def release(spark: SparkSession, paths: list[str]) -> None:
     """Delete scratch tables; no frame over them may still be in use."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for name in paths:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    _delete(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), paths)
+
+
+def _delete(jvm, hadoop, paths: list[str]) -> None:
+    for name in list(paths):
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(hadoop).delete(path, True)
         _written.remove(name)
 
 
 @atexit.register
-def _forget_local() -> None:
+def _forget() -> None:
+    """At exit no frame is in use any more: delete what is left, on shared storage too."""
+    gateway = SparkContext._gateway
+    if _written and gateway is not None:
+        try:
+            _delete(gateway.jvm, gateway.jvm.org.apache.hadoop.conf.Configuration(), _written)
+        except (Py4JError, OSError):  # the JVM has gone already
+            pass
     for path in _written:
         shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
     shutil.rmtree(f"/tmp/checkpoints/lodestone-{os.getpid()}", ignore_errors=True)
 
 
+#: Keys with more than this share of the rows are joined by broadcast; there are at most so many.
+HOT_KEYS = 2048
+
+
+def join_counted(rows: DataFrame, values: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
+    """Inner join of ``rows`` to ``values``, which has one row a key and in ``count`` how many of the rows have it.
+
+    ``values`` must be a written table, and keys must not be null. A key that
+    holds more than 1 / HOT_KEYS of the rows would make a task of its own in
+    a shuffle join. There are fewer than HOT_KEYS of those, as their counts
+    add up to the rows, so they are broadcast; all others are shuffled. The
+    column ``count`` is dropped.
+    """
+    most = values.agg(F.sum(count).alias("total"), F.max(count).alias("most")).first()
+    limit = max(1, (most["total"] or 0) // HOT_KEYS)
+    plain = values.drop(count)
+    if (most["most"] or 0) <= limit:
+        return rows.join(plain, keys)
+    hot = F.broadcast(values.where(F.col(count) > limit).drop(count))
+    cold = values.where(F.col(count) <= limit).drop(count)
+    others = rows.join(F.broadcast(values.where(F.col(count) > limit).select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(others.join(cold, keys))
+
+
 def row_key(*columns: str) -> list[Column]:
     """Two 64-bit hashes of the columns, named ``_k1`` and ``_k2``: a key that is never null.
 

@@ -263,7 +263,7 @@ def search(
         return spark.createDataFrame([], schema)
     sample_rows = min(max_sample, max(1024, (128 << 20) // (8 * dim)))
     draw = F.pmod(F.xxhash64("vec_id", F.lit("draw")), F.lit(1 << 40))
-    drawn = rows.where(draw < F.lit(int((1 << 40) * min(1.0, sample_rows / n)))).orderBy(draw, "vec_id").limit(2 * sample_rows).select("embedding").toArrow()
+    drawn = rows.where(draw < F.lit(int((1 << 40) * min(1.0, sample_rows / n)))).orderBy(draw, "vec_id").limit(sample_rows).select("embedding").toArrow()
     if not drawn.num_rows:
         drawn = rows.limit(1).select("embedding").toArrow()
     sample = _matrix(drawn.column(0).combine_chunks(), dim)

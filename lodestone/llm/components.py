@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._shared import materialize
+from lodestone.llm._shared import join_counted, materialize
 
 
 def _mark(edges: DataFrame) -> tuple[int, int]:
@@ -28,9 +28,9 @@ def components(edges: DataFrame) -> DataFrame:
     while seen[0]:
         # large star: every greater neighbour of u moves to the least of u's neighbourhood
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: u and its lesser neighbours move to the least of them
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_counted(both, materialize(least, "least"), ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # small star: u and its lesser neighbours move to the least of them; after the large star no u has many
         lesser = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(lesser, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         star = materialize(moved.unionByName(lesser.select("u", F.col("m").alias("v"))).distinct(), "edges")

@@ -8,8 +8,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 UNKNOWN = "und"
 _BITS = 18
@@ -71,7 +72,12 @@ class Model:
     bias: np.ndarray
     longest: int
 
-    def predict(self, texts: list[str | None], batch: int = 128) -> Iterator[tuple[str, float]]:
+    def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
+        """Language and share of the scores of each text."""
+        return ((language, share) for language, share, _ in self.judge(texts))
+
+    def judge(self, texts: list[str | None], batch: int = 128) -> Iterator[tuple[str, float, float]]:
+        """The same and the margin."""
         x = np.zeros((batch, len(self.grams)), np.float32)
         norms, letters = np.ones(batch), np.zeros(batch, bool)
         row = 0
@@ -85,16 +91,21 @@ class Model:
                 row = 0
         yield from self._scored(x[:row], norms[:row], letters[:row])
 
-    def _scored(self, x: np.ndarray, norms: np.ndarray, letters: np.ndarray) -> Iterator[tuple[str, float]]:
+    def scores(self, x: np.ndarray, norms: np.ndarray) -> np.ndarray:
+        return (x @ self.weights) / norms[:, None] + self.bias
+
+    def _scored(self, x: np.ndarray, norms: np.ndarray, letters: np.ndarray) -> Iterator[tuple[str, float, float]]:
         if not len(x) or not self.languages:
-            yield from [(UNKNOWN, 0.0)] * len(x)
+            yield from [(UNKNOWN, 0.0, 0.0)] * len(x)
             return
-        scores = (x @ self.weights) / norms[:, None] + self.bias
+        scores = self.scores(x, norms)
         odds = np.exp(4 * (scores - scores.max(axis=1, keepdims=True)))
         best = scores.argmax(axis=1)
         share = odds[np.arange(len(x)), best] / odds.sum(axis=1)
+        # a lone language is up against the target of a text that is not of it
+        top = np.sort(np.hstack([scores, np.full((len(x), 1), -1.0 if len(self.languages) == 1 else -np.inf)]), axis=1)
         for r in range(len(x)):
-            yield (self.languages[best[r]], float(share[r])) if letters[r] else (UNKNOWN, 0.0)
+            yield (self.languages[best[r]], float(share[r]), float(top[r, -1] - top[r, -2])) if letters[r] else (UNKNOWN, 0.0, 0.0)
 
 
 def train(texts: list[str], labels: list[str], languages: list[str], landmarks: int, longest: int, ridge: float) -> Model:
@@ -130,24 +141,36 @@ def train(texts: list[str], labels: list[str], languages: list[str], landmarks:
 
 
 def fit(
-    docs: DataFrame, per_language: int = 300, max_sample: int = 6000, max_languages: int = 200, landmarks: int = 256, longest: int = 3, ridge: float = 1e-2
+    docs: DataFrame, per_language: int = 300, max_sample: int = 6000, max_bytes: int = 64 << 20, landmarks: int = 256, longest: int = 3, ridge: float = 1e-2
 ) -> Model:
-    """Learn from labelled rows that are not held out.
-
-    The sample is bounded: about ``per_language`` rows of each language and
-    ``max_sample`` in all, those of least hash, whole texts; of more than
-    ``max_languages`` labels the most frequent are learned. Only doc_id (for
-    the split and the draw), text and lang are read.
+    """Learn every label of the labelled rows that are not held out, from a bounded sample of whole texts.
+
+    The sample holds up to ``per_language`` texts of each label, those of
+    least hash of id and text, fewer where there are so many labels that
+    ``max_sample`` in all would be passed; but each label has one at least.
+    Of these, in turns of one text a label, come those that begin within the
+    first ``max_bytes``, and the first one whatever its size. So at most
+    max(max_sample, labels) texts and ``max_bytes`` beside one text reach the
+    driver. Rows alike in id, text and label are one. Only doc_id (for the
+    split and the draw), text and lang are read. Null ids are learned from;
+    texts without a letter teach nothing.
     """
-    rows = docs.select("doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    rows = docs.select("text", "lang", F.xxhash64("doc_id", "text", F.lit("draw")).alias("draw")).where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n"), F.min("draw").alias("least")).collect()
     if not counts:
         return train([], [], [], landmarks, longest, ridge)
     each = max(1, min(per_language, max_sample // len(counts)))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1 << 40))
-    cut = F.element_at(F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], int((1 << 40) * min(1.0, each / r["count"])))]), F.col("lang"))
-    sample = rows.where(draw < cut).select("text", "lang", draw.alias("draw")).toArrow().sort_by([("draw", "ascending"), ("lang", "ascending"), ("text", "ascending")])
-    return train(sample.column("text").to_pylist(), sample.column("lang").to_pylist(), sorted(r["lang"] for r in counts), landmarks, longest, ridge)
+    # hashes spread evenly, so about twice the wanted number lie below the cut; the least one always does
+    cuts = [(r["lang"], max(r["least"], min((1 << 63) - 1, int(-(1 << 63) + (1 << 64) * min(1.0, 2 * each / max(1, r["n"])))))) for r in counts]
+    limits = docs.sparkSession.createDataFrame(cuts, "lang string, cut long")
+    near = rows.join(F.broadcast(limits), "lang").where("draw <= cut").dropDuplicates(["lang", "draw"])
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    few = near.select("text", "lang", "draw", turn.alias("turn")).where(F.col("turn") <= each)
+    # the sample's rows are few by now, so one task may order them
+    before = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy("turn", "draw", "lang").rowsBetween(Window.unboundedPreceding, -1))
+    sample = few.withColumn("before", before).where(F.coalesce("before", F.lit(0)) < max_bytes).select("turn", "draw", "text", "lang").toArrow()
+    sample = sample.sort_by([("turn", "ascending"), ("draw", "ascending"), ("lang", "ascending")])
+    return train(sample.column("text").to_pylist(), sample.column("lang").to_pylist(), sorted(set(sample.column("lang").to_pylist())), landmarks, longest, ridge)
 
 
 def held_out():
@@ -155,40 +178,42 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def _predictor(model):
+def _predictor(model, keep_text: bool, names: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, len(batch), 512):
                 part = batch.slice(begin, 512)
-                found = list(model.value.predict(part.column("text").to_pylist()))
-                names = [n for n in part.schema.names if n != "text" or "_keep_text" in part.schema.names]
-                columns = [part.column(n) for n in names]
-                columns += [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, [*names, "lang_pred", "score"])
+                found = list(model.value.judge(part.column("text").to_pylist()))
+                kept = [n for n in part.schema.names if keep_text or n != "text"]
+                columns = [part.column(n) for n in kept]
+                columns += [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.float64())[: len(names)])]
+                yield pa.RecordBatch.from_arrays(columns, [*kept, *names])
 
     return run
 
 
-def identify(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
+def identify(docs: DataFrame, model: Model, keep_text: bool = False, names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
     """Predict each document's language from its whole text alone.
 
     The kernel of two texts is the number of n-grams of 1 to ``longest`` code
     points that both have, over the root of the product of how many each has.
     Scores are one-versus-rest ridge regressions in the Nyström space of the
-    landmarks; ``score`` is the predicted language's share of exp(4 * score).
-
-    ``und`` with score 0 if the text is null or has no letter, or if nothing
-    could be learned. Repeated rows get equal results, ties go to the first
-    language by code point. Null ids are carried along and never held out.
-    An empty table gives an empty result. Returns doc_id, held_out,
-    lang_pred and score, or with ``keep_text`` all of ``docs`` and the last
-    two, which replace columns of these names.
+    landmarks, aimed at 1 and -1. ``score`` is the predicted language's share
+    of exp(4 * score), which falls as languages are added; ``margin`` is the
+    lead over the second, which does not (with one language, over -1).
+
+    ``und`` with score and margin 0 if the text is null or has no letter, or
+    if nothing could be learned. Repeated rows get equal results, ties go to
+    the first language by code point. Null ids are carried along and never
+    held out. An empty table gives an empty result. Returns doc_id, held_out,
+    lang_pred and score (and the margin, if ``names`` has a third name), or
+    with ``keep_text`` all of ``docs`` and these without held_out; they
+    replace columns of their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    if keep_text:
-        docs = docs.drop("lang_pred", "score", "_keep_text")
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        marked = docs.withColumn("_keep_text", F.lit(1))
-        return marked.mapInArrow(_predictor(shared), f"{schema}, _keep_text int, lang_pred string, score double").drop("_keep_text")
-    rows = docs.select("doc_id", held_out().alias("held_out"), "text")
-    return rows.mapInArrow(_predictor(shared), "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = docs.drop(*names) if keep_text else docs.select("doc_id", held_out().alias("held_out"), "text")
+    kept = [f for f in rows.schema.fields if keep_text or f.name != "text"]
+    schema = StructType(kept)
+    for name, kind in zip(names, ("string", "double", "double"), strict=False):
+        schema = schema.add(name, kind)
+    return rows.mapInArrow(_predictor(shared, keep_text, names), schema)

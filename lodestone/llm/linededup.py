@@ -9,10 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._shared import materialize, row_key
-from lodestone.llm.textarrays import _PLAIN, mix, slices, span_hashes, text_bytes, words
+from lodestone.llm._shared import join_counted, materialize, row_key
+from lodestone.llm.textarrays import slices, span_digests, text_bytes, words
 
-_SECOND = mix(_PLAIN)
 _POSITION = ("doc_id", "_k1", "_k2", "start")
 
 
@@ -50,12 +49,13 @@ def _reader(least: int):
                     forward[rows], backward[rows] = _windows(counts[rows], least)
                 owner = np.repeat(np.arange(begin, end), np.diff(first))
                 rows = pa.array(owner)
+                digests = span_digests(part, starts, ends)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(c).take(rows) for c in ("doc_id", "_k1", "_k2")),
                         pa.array((np.arange(len(starts)) - first[owner - begin]).astype(np.int32)),
-                        pa.array(span_hashes(_PLAIN[part], starts, ends).view(np.int64)),
-                        pa.array(span_hashes(_SECOND[part], starts, ends).view(np.int64)),
+                        pa.array(np.ascontiguousarray(digests[:, 0])),
+                        pa.array(np.ascontiguousarray(digests[:, 1])),
                         pa.array(forward),
                         pa.array(backward),
                     ],
@@ -66,12 +66,12 @@ def _reader(least: int):
 
 
 def _ranked(rows: DataFrame, names: list[str]) -> DataFrame:
-    """Ranks, in sorted order, of the values of ``names`` that several rows share.
+    """Ranks, in sorted order, of the values of ``names`` that several rows share, and how many rows (``n``).
 
     Only distinct shared values are sorted, by range, so a value that a third
     of all rows has is one row here.
     """
-    shared = rows.groupBy(*names).agg(F.count("*").alias("n")).where("n > 1").select(*names)
+    shared = rows.groupBy(*names).agg(F.count("*").alias("n")).where("n > 1")
     return materialize(shared.orderBy(*names).withColumn("next", F.monotonically_increasing_id()), "ranks")
 
 
@@ -91,7 +91,7 @@ def repeated_windows(docs: DataFrame, least_words: int) -> DataFrame:
     lines = materialize(
         keyed.mapInArrow(_reader(least_words), "doc_id long, _k1 long, _k2 long, start int, h1 long, h2 long, forward int, backward int"), "lines"
     )
-    first = lines.join(_ranked(lines.select("h1", "h2"), ["h1", "h2"]), ["h1", "h2"]).drop("h1", "h2").withColumnRenamed("next", "rank")
+    first = join_counted(lines, _ranked(lines.select("h1", "h2"), ["h1", "h2"]), ["h1", "h2"]).drop("h1", "h2").withColumnRenamed("next", "rank")
     # a row that is there several times over is one document
     level = materialize(first.dropDuplicates(["_k1", "_k2", "start"]), "suffixes")
     forward = level.where("forward > 0").select(*_POSITION, F.col("forward").alias("lines"))
@@ -109,14 +109,14 @@ def repeated_windows(docs: DataFrame, least_words: int) -> DataFrame:
             .join(ends, ["_k1", "_k2", "_tail"])
         )
         named = materialize(named.select(*_POSITION, "lines", "rank", "tail"), "named")
-        earliest = named.groupBy("lines", "rank", "tail").agg(F.count("*").alias("n"), F.min(F.struct(*_POSITION)).alias("least")).where("n > 1").drop("n")
-        later = named.join(earliest, ["lines", "rank", "tail"]).where(F.struct(*_POSITION) > F.col("least"))
+        earliest = named.groupBy("lines", "rank", "tail").agg(F.count("*").alias("n"), F.min(F.struct(*_POSITION)).alias("least")).where("n > 1")
+        later = join_counted(named, materialize(earliest, "earliest"), ["lines", "rank", "tail"]).where(F.struct(*_POSITION) > F.col("least"))
         found.append(later.select(*_POSITION, "lines"))
         if 2 * power <= longest:
             pairs = level.withColumn("_tail", F.col("start") + power).join(ends, ["_k1", "_k2", "_tail"]).select(*_POSITION, "rank", "tail")
             pairs = materialize(pairs, "pairs")
             ranks = _ranked(pairs, ["rank", "tail"])
-            level = materialize(pairs.join(ranks, ["rank", "tail"]).select(*_POSITION, F.col("next").alias("rank")), "suffixes")
+            level = materialize(join_counted(pairs, ranks, ["rank", "tail"]).select(*_POSITION, F.col("next").alias("rank")), "suffixes")
         power *= 2
     if not found:
         return asked.limit(0)

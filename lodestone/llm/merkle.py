@@ -29,7 +29,10 @@ def manifest(pages: DataFrame, archive_bytes: int = 1 << 24) -> DataFrame:
 
     Records go to archives by hash, enough of them to hold about
     ``archive_bytes`` each, and stand there in order of id and digest; offsets
-    are prefix sums of their lengths within an archive.
+    are prefix sums of their lengths within an archive. Null ids are one id
+    (an archive of their own), null urls and bodies are empty, repeated rows
+    stand beside each other. Other columns are dropped, whatever their names.
+    An empty table has an empty manifest.
     """
     record = warc_record(F.col("url"), F.col("html"))
     sized = materialize(pages.select("page_id", F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("sha256")), "records")

@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._shared import materialize, row_key
+from lodestone.llm._shared import join_counted, materialize, row_key
 from lodestone.llm.components import components
-from lodestone.llm.textarrays import mix, shingle_sets, text_bytes
+from lodestone.llm.textarrays import mix, set_digest, shingle_sets, text_bytes
 
 U64 = np.uint64
 _EMPTY = U64(0xFFFFFFFFFFFFFFFF)
@@ -39,15 +39,19 @@ def _longs(rows: list[np.ndarray]) -> pa.ListArray:
     return pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(flat)).cast(pa.list_(pa.int64()))
 
 
+def _digest_columns(digests: list[tuple[int, int]]) -> list[pa.Array]:
+    return [pa.array([d[k] for d in digests], pa.int64()) for k in range(2)]
+
+
 def _signer(shingle: int, bands: int, rows: int):
     salts, odds = _family(2 * bands * rows, 5)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, nodes, first, second = [], [], [], []
+            sizes, digests, first, second = [], [], [], []
             for s in shingle_sets(*text_bytes(batch.column("text")), shingle):
                 sizes.append(len(s))
-                nodes.append(int(mix(np.add.reduce(mix(s), keepdims=True) + U64(len(s)))[0]))
+                digests.append(set_digest(s))
                 m = _minima(s, salts, odds).reshape(2, bands, rows)
                 key = np.zeros((2, bands), U64)
                 for k in range(rows):
@@ -57,12 +61,12 @@ def _signer(shingle: int, bands: int, rows: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c) for c in ("doc_id", "_k1", "_k2")),
-                    pa.array(np.array(nodes, U64).view(np.int64)),
+                    *_digest_columns(digests),
                     pa.array(sizes, pa.int64()),
                     _longs(first),
                     _longs(second),
                 ],
-                ["doc_id", "_k1", "_k2", "node", "n_shingles", "a", "b"],
+                ["doc_id", "_k1", "_k2", "node", "check", "n_shingles", "a", "b"],
             )
 
     return sign
@@ -73,7 +77,7 @@ def _bloom_bits(column: str, log2_bits: int) -> list:
     return [F.pmod(F.xxhash64(F.lit(k), column), F.lit(1 << log2_bits)) for k in range(3)]
 
 
-def _set_reader(shingle: int, words, log2_bits: int):
+def _set_reader(shingle: int, words):
     """Sets of the rows whose ``_bits`` are all in the filter; others are passed over unread."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,23 +89,23 @@ def _set_reader(shingle: int, words, log2_bits: int):
                 hit &= (table[bit >> 6] >> (bit & 63).astype(U64) & U64(1)).astype(bool)
             batch = batch.filter(pa.array(hit))
             sets = list(shingle_sets(*text_bytes(batch.column("text")), shingle))
-            nodes = [int(mix(np.add.reduce(mix(s), keepdims=True) + U64(len(s)))[0]) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.array(nodes, U64).view(np.int64)), _longs(sets)],
-                ["doc_id", "node", "items"],
+                [batch.column("doc_id"), *_digest_columns([set_digest(s) for s in sets]), _longs(sets)],
+                ["doc_id", "node", "check", "items"],
             )
 
     return read
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, log2_bits: int = 24) -> DataFrame:
+def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, node: Column) -> DataFrame:
     """Full shingle sets (node, items) of the nodes in ``wanted`` (node, rep).
 
-    Texts are not shuffled: a Bloom filter of fixed size (2 ** log2_bits bits,
-    2 MB) over the representatives' ids goes to the mappers; what it lets
+    Texts are not shuffled: a Bloom filter over the representatives' ids goes
+    to the mappers, 16 bits an id but from 2 MB to 64 MB in all; what it lets
     through by mistake falls to the join on ``node``.
     """
     spark = docs.sparkSession
+    log2_bits = min(29, max(24, (16 * wanted.count()).bit_length()))
     bits = wanted.select(F.explode(F.array(*_bloom_bits("rep", log2_bits))).alias("bit"))
     marks = (
         bits.groupBy(F.expr("bit >> 6").alias("word"))
@@ -112,21 +116,22 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, log2_bits: int =
     words[marks.column("word").to_numpy()] = marks.column("bits").to_numpy().view(U64)
     shared = spark.sparkContext.broadcast(words)
     keyed = docs.select("doc_id", "text", *[b.alias(f"_b{k}") for k, b in enumerate(_bloom_bits("doc_id", log2_bits))])
-    read = keyed.mapInArrow(_set_reader(shingle, shared, log2_bits), "doc_id long, node long, items array<long>")
+    read = keyed.mapInArrow(_set_reader(shingle, shared), "doc_id long, node long, check long, items array<long>").withColumn("node", node)
     mine = wanted.select("node", F.col("rep").alias("doc_id"))
     # null ids stand for themselves here; a set read twice is one set
     kept = read.join(mine, (read["node"] == mine["node"]) & read["doc_id"].eqNullSafe(mine["doc_id"]), "left_semi")
     return kept.groupBy("node").agg(F.any_value("items").alias("items"))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, percent: int, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, percent: int, node: Column, name: str) -> DataFrame:
     """The pairs (u, v) whose sets have 100 * intersection >= percent * union."""
     size_u = nodes.select(F.col("node").alias("u"), F.col("n_shingles").alias("nu"), F.col("rep").alias("ru"))
     size_v = nodes.select(F.col("node").alias("v"), F.col("n_shingles").alias("nv"), F.col("rep").alias("rv"))
     near = F.lit(100) * F.least("nu", "nv") >= F.lit(percent) * F.greatest("nu", "nv")
     pairs = materialize(pairs.join(size_u, "u").join(size_v, "v").where(near), f"{name}-pairs")
     wanted = pairs.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("ru").alias("rep")), F.struct(F.col("v").alias("node"), F.col("rv").alias("rep")))).alias("w"))
-    sets = materialize(_sets_of(docs, wanted.select("w.*").distinct(), shingle), f"{name}-sets")
+    wanted = materialize(wanted.select("w.*").distinct(), f"{name}-wanted")
+    sets = materialize(_sets_of(docs, wanted, shingle, node), f"{name}-sets")
     both = (
         pairs.select("u", "v", "nu", "nv")
         .join(sets.select(F.col("node").alias("u"), F.col("items").alias("su")), "u")
@@ -172,12 +177,14 @@ def _compare_blocks(percent: int):
 
 
 def _links(at: int, root, size, a, b, local, offsets, sides, percent: int) -> Iterator[tuple[int, int]]:
+    """Links that join two groups of this block: fewer than it has members, however many pairs are near."""
+    group = root.copy()
     mark = np.zeros(int(local.max()) + 1, np.int32)
     mine, others = sides
     same_block = mine is others or (len(mine) == len(others) and bool((mine == others).all()))
     for x in mine:
         near = others[others > x] if same_block else others
-        near = near[(root[near] != root[x]) & (100 * np.minimum(size[near], size[x]) >= percent * np.maximum(size[near], size[x]))]
+        near = near[(group[near] != group[x]) & (100 * np.minimum(size[near], size[x]) >= percent * np.maximum(size[near], size[x]))]
         near = near[(b[near] == b[x]).any(axis=1) & ~(a[near, :at] == a[x, :at]).any(axis=1)]
         if not len(near):
             continue
@@ -189,7 +196,9 @@ def _links(at: int, root, size, a, b, local, offsets, sides, percent: int) -> It
             common = np.add.reduceat(mark[local], offsets[:-1])[near]
         mark[own] = 0
         for y in near[100 * common >= percent * (size[near] + size[x] - common)]:
-            yield x, y
+            if group[y] != group[x]:
+                group[group == group[y]] = group[x]
+                yield x, y
 
 
 def _live_keys(nodes: DataFrame) -> DataFrame:
@@ -206,6 +215,18 @@ def _live_keys(nodes: DataFrame) -> DataFrame:
     return first.join(second, "node").select(F.xxhash64("i", "j", "ka", "kb").alias("key"), "node")
 
 
+def _nodes_of(signed: DataFrame) -> DataFrame:
+    """One row a node: its least document, its number of rows, its size and sub-keys, and the least and greatest digest check."""
+    return (
+        signed.where("n_shingles > 0")
+        .groupBy("node")
+        .agg(
+            F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("a").alias("a"), F.any_value("b").alias("b"),
+            F.min("check").alias("check"), F.max("check").alias("other"),
+        )
+    )
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 12, rows: int = 3, block_items: int = 100_000, with_keys: bool = False
 ) -> DataFrame:
@@ -218,8 +239,10 @@ def near_duplicates(
     links within groups hang on many pairs. Every link is confirmed on the
     full sets.
 
-    Documents with one and the same set collapse into one node first, so
-    copies cost one row each. In a bucket, members are compared with its
+    Documents with one and the same set (by a 128-bit digest of it) collapse
+    into one node first, so copies cost one row each. Sets hold 64-bit hashes
+    of shingles: two different shingles of a pair of documents with n between
+    them are taken for one with a chance of n² / 2^65. In a bucket, members are compared with its
     least node. Where a bucket then still holds two components, its nodes
     are compared with each other, each pair at the first sub-key it shares
     and only across components, in blocks of about ``block_items`` shingles;
@@ -238,28 +261,32 @@ def near_duplicates(
     """
     signed = materialize(
         docs.select("doc_id", "text", *row_key("doc_id", "text")).mapInArrow(
-            _signer(shingle, bands, rows), "doc_id long, _k1 long, _k2 long, node long, n_shingles long, a array<long>, b array<long>"
+            _signer(shingle, bands, rows), "doc_id long, _k1 long, _k2 long, node long, check long, n_shingles long, a array<long>, b array<long>"
         ),
         "minhash",
     )
-    nodes = materialize(
-        signed.where("n_shingles > 0")
-        .groupBy("node")
-        .agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("a").alias("a"), F.any_value("b").alias("b")),
-        "nodes",
-    )
+    # a node's name is half of its set's 128-bit digest; should two sets share it, all are named anew by another hash of the whole
+    node = F.col("node")
+    for turn in range(8):
+        nodes = materialize(_nodes_of(signed.withColumn("node", node)), "nodes")
+        if nodes.where("check != other").isEmpty():
+            break
+        node = F.xxhash64("node", "check", F.lit(turn))
+    else:
+        raise RuntimeError("different sets share a name under every hash")
+    signed = signed.withColumn("node", node)
     keys = materialize(_live_keys(nodes), "keys")
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1")
     buckets = materialize(keys.join(shared.select("key", "centre"), "key"), "buckets")
     pairs = buckets.where("node != centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct()
-    links = _verified(pairs, nodes, docs, shingle, percent, "star")
+    links = _verified(pairs, nodes, docs, shingle, percent, node, "star")
     roots = materialize(components(links), "roots")
 
     labelled = buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
     open_nodes = labelled.join(mixed.select("key"), "key", "left_semi").select("node", "root").distinct()
-    live = materialize(open_nodes.join(nodes, "node"), "live")
-    sets = materialize(_sets_of(docs, live.select("node", "rep"), shingle), "live-sets")
+    live = materialize(open_nodes.join(nodes.select("node", "rep", "n_shingles", "a", "b"), "node"), "live")
+    sets = materialize(_sets_of(docs, live.select("node", "rep"), shingle, node), "live-sets")
     rows_of = live.select("node", "root", "n_shingles", "a", "b", F.posexplode("a").alias("at", "sub"))
     plan = rows_of.groupBy("at", "sub").agg(F.sum("n_shingles").alias("items"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
     plan = plan.select("at", "sub", "items", F.ceil(F.col("items") / block_items).cast("int").alias("blocks"))
@@ -277,17 +304,25 @@ def near_duplicates(
     links = links.unionByName(materialize(more, "block-links"))
     roots = materialize(components(links), "roots")
 
-    named = nodes.select("node", "rep").join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("least"))
-    group_of = named.join(least, "root").select("node", "least")
-    member = signed.select("doc_id", "_k1", "_k2", "node", "n_shingles").join(group_of, "node", "left")
+    named = materialize(nodes.select("node", "rep", "n").join(roots, "node", "left").select("node", "rep", "n", F.coalesce("root", "node").alias("root")), "named")
+    least = materialize(named.groupBy("root").agg(F.min("rep").alias("least"), F.count("*").alias("members")), "least")
+    group_of = materialize(join_counted(named, least, ["root"], "members").select("node", "least", "n"), "groups")
+    columns = ["doc_id", "_k1", "_k2", "node", "n_shingles"]
+    blank = signed.where("n_shingles = 0").select(*columns).withColumn("least", F.lit(None).cast("long"))
+    member = join_counted(signed.where("n_shingles > 0").select(*columns), group_of, ["node"]).select(*blank.columns).unionByName(blank)
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
     found = member.select("doc_id", "n_shingles", component, "_k1", "_k2").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     return found if with_keys else found.drop("_k1", "_k2")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents that ``near_duplicates`` does not keep: one of each group stays."""
+    """``docs`` without the documents that ``near_duplicates`` does not keep: one of each group stays.
+
+    That is the one of least id; rows with its id and text all stay, as they
+    are one document. A group of null ids only stays whole, and so do null,
+    empty and blank texts. Columns are kept, but _k1 and _k2 are dropped. An
+    empty table stays empty.
+    """
     docs = docs.drop("_k1", "_k2")
     found = near_duplicates(docs, shingle, percent, with_keys=True).where(~F.col("kept")).select("_k1", "_k2")
     return docs.select("*", *row_key("doc_id", "text")).join(found, ["_k1", "_k2"], "left_anti").select(*docs.columns)

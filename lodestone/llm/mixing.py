@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm._shared import materialize, row_key
+from lodestone.llm._shared import HOT_KEYS, materialize, row_key
 
-_CAP = 2.0
+#: Documents of one size that are ranked in one task.
+_BUCKET = 1024
 
 
 def word_count(text: Column) -> Column:
@@ -45,7 +45,7 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...], share: flo
     return out
 
 
-def _solve(cells: DataFrame, totals: dict, goal: dict, cap: float, tolerance: float = 1e-9, rounds: int = 60) -> dict:
+def _solve(cells: DataFrame, totals: dict, goal: dict, cap: float, tolerance: float = 1e-9, rounds: int = 120) -> dict:
     """Multipliers of the convex dual, one a source, by safeguarded Newton steps over the size histogram.
 
     A document of n words has the rate min(cap, exp(lambda * n / scale)), with
@@ -60,7 +60,7 @@ def _solve(cells: DataFrame, totals: dict, goal: dict, cap: float, tolerance: fl
     low = {s: min(0.0, math.log(goal[s] / totals[s]["size"]) * scale[s]) if goal[s] > 0 else -math.inf for s in live}
     now = {s: high[s] if goal[s] >= cap * totals[s]["size"] * (1 - 1e-12) else min(high[s], max(low[s], 0.0)) for s in live}
     going = {s for s in live if goal[s] < cap * totals[s]["size"] * (1 - 1e-12) and goal[s] > 0}
-    for _ in range(rounds):
+    for turn in range(rounds):
         if not going:
             break
         state = spark.createDataFrame([(s, now[s], scale[s]) for s in sorted(going, key=lambda s: (s is None, s or ""))], "s string, lam double, scale double")
@@ -81,25 +81,32 @@ def _solve(cells: DataFrame, totals: dict, goal: dict, cap: float, tolerance: fl
             else:
                 high[s] = now[s]
             step = now[s] - (f - goal[s]) / d if d > 0 else math.nan
-            now[s] = step if low[s] < step < high[s] else (low[s] + high[s]) / 2
+            # every third step halves the bracket, so a bad curve costs rounds and not the result
+            now[s] = step if low[s] < step < high[s] and turn % 3 < 2 else (low[s] + high[s]) / 2
+    if going:
+        raise RuntimeError(f"no multiplier found in {rounds} rounds for the sources {sorted(map(repr, going))}")
     return {s: (now[s] / scale[s] if goal[s] > 0 else -math.inf) for s in live}
 
 
 def _round_cells(cap: int):
-    """Whole copies for each size of one source, largest first; what a size gains or loses passes to the next."""
+    """Whole copies for each size of one source, largest first; what a size gains or loses passes to the next.
+
+    Distinct sizes add up to the source's words at most, so w words have
+    fewer than sqrt(2 * w) of them: 5.5 million for 100 TB in one source.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("size", "descending")])
-        size, n, rate = (table.column(c).to_numpy() for c in ("size", "n", "rate"))
-        copies, carry = np.zeros(len(size), np.int64), 0.0
-        for i in range(len(size)):
-            if size[i]:
-                want = n[i] * rate[i] * size[i] + carry
-                copies[i] = min(cap * n[i], max(0, round(want / size[i])))
-                carry = want - copies[i] * size[i]
+        size, n, rate = (table.column(c).to_pylist() for c in ("size", "n", "rate"))
+        copies, carry = [], 0.0
+        for words, count, each in zip(size, n, rate, strict=True):
+            if words:
+                want = count * each * words + carry
+                copies.append(min(cap * count, max(0, round(want / words))))
+                carry = want - copies[-1] * words
             else:
-                copies[i] = n[i]
-        return pa.table({"source": table.column("source"), "size": table.column("size"), "copies": pa.array(copies)})
+                copies.append(count)
+        return table.select(["source", "size", "n"]).append_column("copies", pa.array(copies, pa.int64()))
 
     return run
 
@@ -116,8 +123,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     Rates become copies in two exact steps. Largest size first, each size of
     a source gets a whole number of copies, and what rounding adds or takes
     passes on to the next size; so a source ends within about its smallest
-    document of its target. Within a size, copies go to the documents of
-    least hash; large groups are cut into buckets by another hash, each with
+    document of its target, or within half of a larger one if the documents
+    below that are too few to make it up. Within a size, copies go to the
+    documents of least hash; large groups are cut into buckets by another hash, each with
     its even share, so no task ranks more than a bucket.
 
     Sizes are counts of words; a null text has none. A null source is a
@@ -140,12 +148,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     exponent = F.col("lam") * F.col("size")
     rate = F.when(F.col("size") == 0, F.lit(1.0)).when(exponent >= math.log(cap), F.lit(float(cap))).otherwise(F.exp(exponent))
     rated = cells.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("rate", rate)
-    whole = rated.select("source", "size", "n", "rate").groupBy("source").applyInArrow(_round_cells(cap), "source string, size long, copies long")
-    # documents of one size in buckets of about 4096, each with its even share of the copies
-    counted = cells.withColumnRenamed("n", "cell_n").join(whole.select(F.col("source").alias("s2"), F.col("size").alias("size2"), "copies"), F.col("source").eqNullSafe(F.col("s2")) & (F.col("size") == F.col("size2"))).select("source", "size", "cell_n", "copies")
-    shares = materialize(counted.withColumn("buckets", F.ceil(F.col("cell_n") / 4096)), "shares")
-    mine = shares.select(F.col("source").alias("s2"), F.col("size").alias("size2"), "cell_n", F.col("copies").alias("cell_copies"), "buckets")
-    placed = sized.join(mine, F.col("source").eqNullSafe(F.col("s2")) & (F.col("size") == F.col("size2"))).withColumn("bucket", F.pmod(F.xxhash64("_k1", F.lit("bucket")), F.col("buckets")))
+    whole = rated.select("source", "size", "n", "rate").groupBy("source").applyInArrow(_round_cells(cap), "source string, size long, n long, copies long")
+    # documents of one size in buckets of about _BUCKET, each with its even share of the copies
+    shares = materialize(whole.withColumn("buckets", F.ceil(F.col("n") / _BUCKET)), "shares")
+    mine = shares.select(F.col("source").alias("s2"), F.col("size").alias("size2"), F.col("n").alias("cell_n"), F.col("copies").alias("cell_copies"), "buckets")
+    same = F.col("source").eqNullSafe(F.col("s2")) & (F.col("size") == F.col("size2"))
+    # a size with more than 1 / HOT_KEYS of the documents would be one task: there are fewer than HOT_KEYS, and they are broadcast
+    often = F.col("cell_n") > sum(t["n"] for t in totals.values()) // HOT_KEYS
+    hot = F.broadcast(mine.where(often))
+    placed = sized.join(hot, same).unionByName(sized.join(F.broadcast(mine.where(often).select("s2", "size2")), same, "left_anti").join(mine.where(~often), same))
+    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("_k1", F.lit("bucket")), F.col("buckets")))
     by_size = ["source", "size"]
     per = placed.groupBy(*by_size, "bucket").agg(F.count("*").alias("m"), F.any_value("cell_n").alias("cell_n"), F.any_value("cell_copies").alias("cell_copies"))
     upto = F.sum("m").over(Window.partitionBy(*by_size).orderBy("bucket"))
@@ -166,7 +178,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as many times as ``mix`` gives it."""
+    """The mix itself: the rows of ``docs``, each as many times as ``mix`` gives it.
+
+    Rows with the same id and text share their copies evenly. Null texts and
+    sources are as in ``mix``. All columns are kept, but those named _k1, _k2,
+    _copies, _rows, _row or _copy are dropped. An empty table stays empty.
+    """
     docs = docs.drop("_k1", "_k2", "_copies", "_rows", "_row", "_copy")
     dealt = mix(docs, weights, share, cap, with_keys=True).groupBy("_k1", "_k2").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
     keyed = docs.select("*", *row_key("doc_id", "text"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import ann, language_id, linededup, merkle, mixing, oracles, packing, secrets, sharding, spotsigs
-from lodestone.llm._shared import documents_of
+from lodestone.llm._shared import documents_of, scratch_path
 from lodestone.llm.minhash import near_duplicates
 
 
@@ -24,8 +24,13 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deals whole documents to written shards and reads those back: where each row is, and what arrived there."""
     shards = [f"shard-{k:03d}" for k in range(64)]
-    return sharding.place(documents_of(spark, sf_dir).select("doc_id"), shards)
+    placed = sharding.place(documents_of(spark, sf_dir).select("doc_id", "text"), shards)
+    path = scratch_path(spark, "shards")
+    sharding.write_shards(placed, path)
+    back = spark.read.schema(placed.schema).parquet(path)
+    return back.select("doc_id", "slot", "shard", "shard_name", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.arrays import let, sums_before
 from lodestone.llm._shared import materialize, row_key
 
 #: Patterns of the base kinds, in the order in which they are listed, and the least length of each.
@@ -30,21 +33,30 @@ def _spans(text: Column, pattern: str, kind: str, size: Column | None = None, le
     """Spans of the leftmost, non-overlapping matches, in code points; those whose ``size`` is too small are dropped.
 
     ``size`` holds a length for each match. The text between the matches
-    comes from splitting by the same pattern, so lengths add up to places.
+    comes from splitting by the same pattern, so running sums of the lengths
+    are the places, in about linear time however many matches a text has.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sizes = F.transform(found, F.length) if size is None else size
-    steps = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.transform(found, F.length).alias("length"), sizes.alias("size"))
-    zero = F.struct(F.lit(0).alias("at"), _none().alias("out"))
+    lengths = let(found, lambda all_: F.transform(all_, lambda m: F.length(m).cast("long")))
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("long"))
+
+    def starts(parts: Column) -> Column:
+        # a match begins after all gaps up to its own and all matches before it
+        steps = F.zip_with(F.slice(parts["gaps"], F.lit(2), F.size(parts["lengths"])), parts["lengths"], lambda gap, length: F.coalesce(gap, F.lit(0).cast("long")) + length)
+        return F.arrays_zip(sums_before(steps).alias("start"), parts["lengths"].alias("length"), parts["sizes"].alias("size"), parts["gaps"].alias("gap"))
+
+    parts = F.struct(lengths.alias("lengths"), (lengths if size is None else size).alias("sizes"), gaps.alias("gaps"))
+    placed = let(parts, lambda p: let(F.struct(starts(p).alias("all"), F.get(p["gaps"], F.lit(0)).alias("head")), _kept(kind, least)))
+    return F.when(F.regexp_count(text, F.lit(pattern)) > 0, placed).otherwise(_none())
 
-    def step(state: Column, item: Column) -> Column:
-        start = state["at"] + F.length(item["gap"])
-        end = start + F.coalesce(item["length"], F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(_ORDER.index(kind)).alias("place"), end.alias("end"), F.lit(kind).alias("kind"))
-        out = F.when(item["size"] >= least, F.concat(state["out"], F.array(span))).otherwise(state["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
 
-    return F.when(F.size(found) > 0, F.aggregate(steps, zero, step, lambda state: state["out"])).otherwise(_none())
+def _kept(kind: str, least: int) -> Callable[[Column], Column]:
+    def span(head: Column, m: Column) -> Column:
+        start = head + m["start"]
+        return F.struct(start.cast("int").alias("start"), F.lit(_ORDER.index(kind)).alias("place"), (start + m["length"]).cast("int").alias("end"), F.lit(kind).alias("kind"))
+
+    # zipped with one gap more than there are matches
+    return lambda p: F.transform(F.filter(p["all"], lambda m: m["start"].isNotNull() & (m["size"] >= least)), lambda m: span(p["head"], m))
 
 
 def _joined(spans: Column) -> Column:
@@ -52,6 +64,13 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _same(key: list[str], *more: str) -> Column:
+    out = F.lit(True)
+    for name in (*key, *more):
+        out = out & (F.col(f"a.{name}") == F.col(f"b.{name}"))
+    return out
+
+
 def scan(docs: DataFrame, scope: int = 256) -> DataFrame:
     """Find secrets in whole texts, and parts of credentials where complementary parts stand together.
 
@@ -68,7 +87,8 @@ def scan(docs: DataFrame, scope: int = 256) -> DataFrame:
     the pieces of ``scope`` code points that they cover, complements reach
     into the next pieces too, and a semi join keeps a part once a piece,
     however many complements it has; the pieces of a part are then one again.
-    Parts do not overlap, so a piece holds few of them in any document.
+    Parts under a base span fall to another such join first. Parts of a kind
+    do not overlap, so a piece holds few of them in any document.
 
     A null text is empty and has no spans. Rows with the same id and text are
     one document, and each gets its result. Null ids are carried along.
@@ -92,28 +112,30 @@ def scan(docs: DataFrame, scope: int = 256) -> DataFrame:
     )
     parts = materialize(parts, "parts")
     base = F.concat("assign", "access", "hex")
+    key = ["_k1", "_k2"]
     some = parts.where(
         ((F.size("secret") > 0) | (F.size("id") > 0) | (F.size("endpoint") > 0))
         & (F.size("secret") + F.size("assign") + F.size("hex") > 0)
         & (F.size("id") + F.size("access") + F.size("endpoint") > 0)
     )
-    weak = F.filter(F.concat("secret", "id", "endpoint"), lambda w: ~F.exists(base, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    pieces = F.sequence(F.floor(F.col("s.start") / scope), F.floor(F.col("s.end") / scope))
-    asking = some.select("_k1", "_k2", F.explode(weak).alias("s")).withColumn("piece", F.explode(pieces))
-    wants = F.when(F.col("s.kind") == "linked_secret", F.lit("part")).otherwise(F.lit("secret"))
+    # rows with the same id and text are one document
+    some = some.dropDuplicates(key)
+    pieces = F.explode(F.sequence(F.floor(F.col("s.start") / scope), F.floor(F.col("s.end") / scope)))
+    strong = some.select(*key, F.explode(base).alias("s"))
+    weak = some.select(*key, F.explode(F.concat("secret", "id", "endpoint")).alias("s")).withColumn("piece", pieces)
+    # within a piece spans of a kind do not overlap, so it holds few of them in any document
+    over = (F.col("a.s.start") < F.col("b.s.end")) & (F.col("b.s.start") < F.col("a.s.end"))
+    taken = weak.alias("a").join(strong.withColumn("piece", pieces).alias("b"), _same(key, "piece") & over, "left_semi").select(*key, "s").distinct()
+    asking = weak.join(taken, [*key, "s"], "left_anti").withColumn("role", F.when(F.col("s.kind") == "linked_secret", F.lit("part")).otherwise(F.lit("secret")))
+    asking = materialize(asking, "weak-parts")
     giving = (
-        some.select("_k1", "_k2", F.explode(F.concat(base, weak)).alias("g"))
-        .withColumn("role", F.when(F.col("g.kind").isin("linked_secret", "assign", "hex"), "secret").otherwise("part"))
-        .withColumn("piece", F.explode(F.sequence(F.floor(F.col("g.start") / scope) - 1, F.floor((F.col("g.end") + scope) / scope) + 1)))
+        strong.unionByName(asking.select(*key, "s").distinct())
+        .withColumn("role", F.when(F.col("s.kind").isin("linked_secret", "assign", "hex"), "secret").otherwise("part"))
+        .withColumn("piece", F.explode(F.sequence(F.floor(F.col("s.start") / scope) - 1, F.floor((F.col("s.end") + scope) / scope) + 1)))
     )
-    a, b = asking.withColumn("role", wants).alias("a"), giving.alias("b")
-    near = (F.col("b.g.start") - F.col("a.s.end") <= scope) & (F.col("a.s.start") - F.col("b.g.end") <= scope)
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("_k1", "_k2", "piece", "role")]
-    condition = near
-    for part in same:
-        condition = condition & part
-    linked = a.join(b, condition, "left_semi").groupBy("_k1", "_k2").agg(F.collect_set("s").alias("linked"))
-    whole = parts.join(linked, ["_k1", "_k2"], "left")
+    near = (F.col("b.s.start") - F.col("a.s.end") <= scope) & (F.col("a.s.start") - F.col("b.s.end") <= scope)
+    linked = asking.alias("a").join(giving.alias("b"), _same(key, "piece", "role") & near, "left_semi").groupBy(*key).agg(F.collect_set("s").alias("linked"))
+    whole = parts.join(linked, key, "left")
     return whole.select(
         "doc_id",
         F.size("assign").cast("long").alias("n_assign"),

@@ -63,13 +63,20 @@ def place(rows: DataFrame, shards: list[str], key: tuple[str, ...] = ("doc_id",)
     return kept.withColumn("slot", slot_of(size, *key)).join(F.broadcast(slots), F.col("slot") == F.col("_slot")).drop("_slot")
 
 
-def write_shards(placed: DataFrame, path: str, files_per_shard: int = 1) -> None:
-    """Write placed rows as one folder a shard, each of up to ``files_per_shard`` files.
-
-    Rows of a shard are spread over that many tasks by slot and content, so
-    a shard with one very frequent key is still written by all of them.
+def write_shards(placed: DataFrame, path: str, files_per_shard: int | None = None, file_bytes: int = 128 << 20) -> None:
+    """Write placed rows as one folder a shard, of ``files_per_shard`` files or of files of about ``file_bytes`` of text.
+
+    Rows of a shard are dealt over its files by their place in the input, so
+    a shard with one very frequent key or row is written by all of its tasks.
+    ``placed`` must come from a scan or a written table, so that a task run
+    anew deals alike. Bytes are counted in its string columns, nulls as none.
+    An empty table writes no shard. Columns are written as they are.
     """
-    others = [c for c in placed.columns if c not in ("shard", "shard_name", "slot")]
-    salt = F.pmod(F.xxhash64("slot", *others), F.lit(files_per_shard))
-    shards = placed.select("shard").distinct().count()
-    placed.repartition(max(1, shards * files_per_shard), "shard", salt).write.partitionBy("shard").parquet(path)
+    strings = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)).cast("long") for f in placed.schema if f.dataType.simpleString() == "string"]
+    weight = sum(strings, F.lit(64).cast("long"))
+    files = F.lit(files_per_shard) if files_per_shard else F.ceil(F.sum(weight) / file_bytes)
+    # one row a shard, and there are at most as many shards as slots
+    sizes = placed.sparkSession.createDataFrame(placed.groupBy("shard").agg(files.cast("long").alias("_files")).collect(), "shard int, _files long")
+    total = sizes.agg(F.sum("_files")).first()[0] or 1
+    planned = placed.join(F.broadcast(sizes), "shard").withColumn("_file", F.pmod(F.monotonically_increasing_id(), F.col("_files")))
+    planned.repartition(int(total), "shard", "_file").drop("_files", "_file").write.partitionBy("shard").parquet(path)

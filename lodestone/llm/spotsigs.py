@@ -6,8 +6,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm._shared import materialize, row_key
@@ -106,33 +107,44 @@ def pruned_jaccard(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
     return common / (len(a) + len(b) - common)
 
 
-def _branch(column: Column, bounds: list, low: int, high: int) -> Column:
-    """How many of the sorted bounds are at most the column, by bisection."""
-    if low == high:
-        return F.lit(low)
-    middle = (low + high) // 2
-    return F.when(column < F.lit(bounds[middle]), _branch(column, bounds, low, middle)).otherwise(_branch(column, bounds, middle + 1, high))
+def _dealer(bounds: list[int]):
+    """Bucket of each id among the sorted bounds, and whether the id is a bound itself: one lookup a row, however many there are."""
+    edges = np.array(bounds, np.int64)
 
+    @F.pandas_udf("bucket int, edge boolean")
+    def deal(order: pd.Series) -> pd.DataFrame:
+        ids = order.to_numpy()
+        bucket = np.searchsorted(edges, ids, "left")
+        found = edges[np.minimum(bucket, len(edges) - 1)] == ids if len(edges) else np.zeros(len(ids), bool)
+        return pd.DataFrame({"bucket": bucket + found, "edge": found})
 
-def in_order_with_next(docs: DataFrame, parts: int) -> DataFrame:
+    return deal
+
+
+def in_order_with_next(docs: DataFrame, parts: int | None) -> DataFrame:
     """Rows dealt by ranges of doc_id into buckets, each closed by the first row of the next.
 
     Columns: bucket, look (1 on a closing row), order, tie, doc_id, text. The
     last bucket is closed by the first row of all. Borders are ``parts``
     quantiles of the ids, which are ids themselves, so a border's rows close
-    the bucket before it. Texts are shuffled once.
+    the bucket before it. Texts are shuffled once. Without ``parts`` there is
+    one for every 64 MB of text, up to 65,536, and the session's number of
+    shuffle partitions at least.
     """
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("order"))
+    if parts is None:
+        size = keyed.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(65536, -(-size // (64 << 20))))
     shares = [k / parts for k in range(1, parts)] or [0.5]
-    found = keyed.agg(F.percentile_approx("order", shares, F.lit(20 * parts)).alias("q"), F.min("order").alias("least")).first()
+    found = keyed.agg(F.percentile_approx("order", shares, F.lit(min(20 * parts, 1 << 20))).alias("q"), F.min("order").alias("least")).first()
     least, bounds = found["least"], sorted(set(found["q"] or ()))
-    bucket = _branch(F.col("order"), bounds, 0, len(bounds))
+    dealt = keyed.withColumn("at", _dealer(bounds)("order"))
     places = F.array(
-        F.struct(bucket.alias("bucket"), F.lit(0).alias("look")),
-        F.when(F.col("order").isin(bounds), F.struct((bucket - 1).alias("bucket"), F.lit(1).alias("look"))),
+        F.struct(F.col("at.bucket").alias("bucket"), F.lit(0).alias("look")),
+        F.when(F.col("at.edge"), F.struct((F.col("at.bucket") - 1).alias("bucket"), F.lit(1).alias("look"))),
         F.when(F.col("order") == F.lit(least), F.struct(F.lit(len(bounds)).alias("bucket"), F.lit(1).alias("look"))),
     )
-    dealt = keyed.withColumn("place", F.explode(F.filter(places, lambda p: p.isNotNull())))
+    dealt = dealt.withColumn("place", F.explode(F.filter(places, lambda p: p.isNotNull())))
     rows = dealt.select("place.bucket", "place.look", "order", F.xxhash64("text").alias("tie"), "doc_id", "text")
     return rows.repartitionByRange(parts, "bucket").sortWithinPartitions("bucket", "look", "order", "tie")
 
@@ -207,8 +219,6 @@ def fingerprints(docs: DataFrame, chain: int = 2, parts: int | None = None) -> D
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next and n_spots.
     """
-    spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     return in_order_with_next(docs, parts).select("look", "doc_id", "text").mapInArrow(
         _reader(chain, 2 << 20),
         "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_spots long",

@@ -6,6 +6,8 @@ are ASCII, so cutting UTF-8 bytes cuts at code points.
 
 from __future__ import annotations
 
+import hashlib
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,10 +17,10 @@ import pyarrow as pa
 U64 = np.uint64
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[9, 10, 11, 12, 13, 32]] = False
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = np.ones(1, U64)
-_inverses = np.ones(1, U64)
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] = _FOLD[97:123]
+#: Longer runs of bytes are hashed one by one by BLAKE2b.
+_BLOCKED = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,24 +34,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_PLAIN = mix(np.arange(1, 257, dtype=U64))
-_FOLDED = _PLAIN.copy()
-_FOLDED[65:91] = _PLAIN[97:123]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverses
-    if len(_powers) < n:
-        size = max(n, 2 * len(_powers), 1 << 20)
-        _powers = np.full(size, _BASE, U64)
-        _powers[0] = 1
-        np.multiply.accumulate(_powers, out=_powers)
-        _inverses = np.full(size, _INVERSE, U64)
-        _inverses[0] = 1
-        np.multiply.accumulate(_inverses, out=_inverses)
-    return _powers, _inverses
-
-
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column and the n + 1 offsets of its rows in them; nulls are empty."""
     if column.null_count:
@@ -81,13 +65,41 @@ class Words:
     first: np.ndarray
 
 
-def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ``codes[start:end]``; equal runs have equal hashes wherever they stand."""
-    powers, inverses = _power_tables(len(codes) + 1)
-    sums = np.zeros(len(codes) + 1, U64)
-    np.cumsum(codes * powers[: len(codes)], out=sums[1:])
-    out = (sums[ends] - sums[starts]) * inverses[starts]
-    return mix(out + (ends - starts).astype(U64))
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ``data[start:end]``; equal runs have equal hashes wherever they stand.
+
+    Runs of up to 64 bytes are taken in blocks of 8, each mixed into what the
+    blocks before it made, all runs side by side; longer ones go to BLAKE2b.
+    """
+    lengths = ends - starts
+    out = mix(lengths.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(0x632BE59BD9B4E019))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    blocks = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    short = np.flatnonzero(lengths <= _BLOCKED)
+    for at in range(0, _BLOCKED, 8):
+        short = short[lengths[short] > at]
+        if not len(short):
+            break
+        block = blocks[starts[short] + at].astype(U64)
+        left = lengths[short] - at
+        partial = left < 8
+        block[partial] &= (U64(1) << (left[partial].astype(U64) * U64(8))) - U64(1)
+        out[short] = mix(mix(out[short] ^ block) * U64(0xD6E8FEB86659FD93) + U64(at + 1))
+    for row in np.flatnonzero(lengths > _BLOCKED):
+        out[row] = int.from_bytes(hashlib.blake2b(data[starts[row] : ends[row]], digest_size=8).digest(), "little")
+    return out
+
+
+def span_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128-bit BLAKE2b digests of ``data[start:end]``, as two columns of 64-bit words."""
+    raw = bytes(data)
+    made = b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return np.frombuffer(made, "<i8").reshape(-1, 2)
+
+
+def set_digest(items: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit words of the BLAKE2b digest of a set, given as sorted 64-bit members."""
+    return struct.unpack("<2q", hashlib.blake2b(items.astype("<u8").data, digest_size=16).digest())
 
 
 def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True, word_bytes: np.ndarray = _IS_WORD) -> Words:
@@ -104,7 +116,7 @@ def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True, word_bytes:
     closes[edges - 1] = inside[edges - 1]
     starts = np.flatnonzero(begins)
     ends = np.flatnonzero(closes) + 1
-    hashes = span_hashes((_FOLDED if fold else _PLAIN)[data], starts, ends)
+    hashes = span_hashes(_FOLD[data] if fold else data, starts, ends)
     return Words(hashes, starts, ends, np.searchsorted(starts, offsets))
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
-from lodestone.llm.textarrays import _PLAIN, span_hashes, text_bytes
+from lodestone.llm.textarrays import text_bytes
 
 #: The normaliser, pre-tokeniser and word end of the files read here.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -174,30 +174,30 @@ class WordBpe:
             flat[first[owner] + place] = ids
         return flat, counts
 
-    def _known(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where in ``_flat`` each word's symbols begin and how many there are; ``hashes`` are sorted.
+    def _known(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``_flat`` the symbols of each of the distinct ``words`` (binary) begin and how many there are.
 
-        Words met before are not encoded again. The memory of words starts
-        anew once it holds ``_MOST_WORDS``, so it is bounded.
+        Words met before, byte for byte, are not encoded again. The memory of
+        words starts anew once it holds ``_MOST_WORDS``, so it is bounded.
         """
         if len(self._seen) > _MOST_WORDS:
             self._forget()
-        at = np.minimum(np.searchsorted(self._seen, hashes), len(self._seen) - 1)
-        fresh = np.flatnonzero(self._seen[at] != hashes)
-        begin, counts = self._begin[at], self._counts[at]
+        keys = words.to_pylist()
+        number = np.array([self._seen.get(k, -1) for k in keys], np.int64)
+        fresh = np.flatnonzero(number < 0)
         if len(fresh):
-            flat, n = self._encode_words(data, starts[fresh], ends[fresh])
-            begin[fresh], counts[fresh] = len(self._flat) + np.cumsum(n) - n, n
+            data, offsets = text_bytes(words)
+            flat, n = self._encode_words(data, offsets[fresh], offsets[fresh + 1])
+            number[fresh] = len(self._begin) + np.arange(len(fresh))
+            self._begin = np.concatenate([self._begin, len(self._flat) + np.cumsum(n) - n])
+            self._counts = np.concatenate([self._counts, n])
             self._flat = np.concatenate([self._flat, flat])
-            place = np.searchsorted(self._seen, hashes[fresh])
-            self._seen = np.insert(self._seen, place, hashes[fresh])
-            self._begin = np.insert(self._begin, place, begin[fresh])
-            self._counts = np.insert(self._counts, place, n)
-        return begin, counts
+            self._seen.update((keys[w], int(number[w])) for w in fresh)
+        return self._begin[number], self._counts[number]
 
     def _forget(self) -> None:
-        self._seen = np.array([np.iinfo(np.uint64).max], np.uint64)
-        self._begin, self._counts = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self._seen: dict[bytes, int] = {}
+        self._begin, self._counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self._flat = np.zeros(0, np.int32)
 
     def _pieces(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,14 +228,15 @@ class WordBpe:
         width = np.zeros(len(codes) + 1, np.int64)
         np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF).astype(np.int64), out=width[1:])
         starts, ends = width[starts], width[ends]
-        hashes = span_hashes(_PLAIN[data], starts, ends)
-        order = np.argsort(hashes)
-        new = np.ones(len(order), bool)
-        new[1:] = hashes[order[1:]] != hashes[order[:-1]]
-        word = np.empty(len(order), np.int64)
-        word[order] = np.cumsum(new) - 1
-        firsts = order[new]
-        begin, counts = self._known(hashes[firsts], data, starts[firsts], ends[firsts])
+        inside = np.zeros(len(data) + 1, np.int8)
+        # words do not overlap, but one may begin where another ends
+        inside[starts] += 1
+        inside[ends] -= 1
+        letters = data[np.cumsum(inside[:-1], dtype=np.int8) > 0]
+        at = np.append(0, np.cumsum(ends - starts)).astype(np.int32)
+        column = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(letters)]).dictionary_encode()
+        word = column.indices.to_numpy()
+        begin, counts = self._known(column.dictionary)
         flat = self._flat
         each = counts[word]
         shift = np.cumsum(each) - each
