@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: White space as Unicode has it, as the body of a regular expression's class (Java's own classes are ASCII only).
+WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -34,31 +37,29 @@ def contains_ascii(text: Column, needle: str) -> Column:
     return F.contains(ascii_fold(text), F.lit(needle.translate(str.maketrans(_UPPER, _LOWER))))
 
 
+def strip(text: Column) -> Column:
+    """The text without white space at its ends."""
+    return F.regexp_replace(text, f"^[{WHITE}]+|[{WHITE}]+$", "")
+
+
+def is_blank(text: Column) -> Column:
+    return ~F.rlike(text, F.lit(f"[^{WHITE}]"))
+
+
 def snippet(text: Column, width: int = 160) -> Column:
     """White space collapsed; what is longer than ``width`` ends in three dots."""
-    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
+    flat = F.trim(F.regexp_replace(text, f"[{WHITE}]+", " "))
     return F.when(F.length(flat) > width, F.concat(F.substring(flat, 1, width - 3), F.lit("..."))).otherwise(flat)
 
 
-def line_at(text: Column, offset: Column) -> Column:
-    """Number, from 1, of the line that holds the code point at ``offset``; only line feeds count."""
-    before = F.substring(text, F.lit(1), offset)
-    return (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("int")
-
-
-#: The models of each family, by the head of their name.
-FAMILIES = {
-    "cl-nagoya/ruri-v3-": "ruri-v3",
-    "Qwen/Qwen3-Embedding-": "qwen3",
-    "BAAI/bge-m3": "bge-m3",
-    "sbintuitions/sarashina-embedding-v2-": "sarashina-v2",
-    "pfnet/plamo-embedding-1b": "plamo",
-}
+#: The models of each family, by the head of their name, and those that are a family by themselves.
+FAMILIES = {"cl-nagoya/ruri-v3-": "ruri-v3", "Qwen/Qwen3-Embedding-": "qwen3", "sbintuitions/sarashina-embedding-v2-": "sarashina-v2"}
+MODELS = {"BAAI/bge-m3": "bge-m3", "pfnet/plamo-embedding-1b": "plamo"}
 
 
 def prefix_policy(model: str) -> str:
     """Family whose prefixes a model takes; unknown models are of the e5 family."""
-    return next((family for head, family in FAMILIES.items() if model.startswith(head)), "e5")
+    return MODELS.get(model) or next((family for head, family in FAMILIES.items() if model.startswith(head)), "e5")
 
 
 def with_prefix(text: Column, policy: str, query: bool = False) -> Column:

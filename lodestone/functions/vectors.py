@@ -46,6 +46,11 @@ def distance_to_score(distance: Column) -> Column:
     return F.when(distance.isNull(), F.lit(None).cast("double")).when(F.isnan(distance), F.lit(0.0)).otherwise(1 / (1 + F.greatest(distance, F.lit(0.0))))
 
 
+def require_distance(distance: Column) -> Column:
+    """The distance, or an error that stops the query if it is null: the index lacks a vector and must be rebuilt."""
+    return F.when(distance.isNotNull(), distance).otherwise(F.raise_error(F.lit("a chunk has no vector distance: rebuild the index")).cast("double"))
+
+
 def hybrid_score(fts_rank: Column, vec_distance: Column) -> Column:
     """Weighted sum of the vector score and the clamped lexical score; a missing part counts 0."""
     vec = F.coalesce(distance_to_score(vec_distance), F.lit(0.0))

@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import line_at
+from lodestone.functions.arrays import let, sums_before
+from lodestone.functions.text import is_blank
 
 MAX_CHARS, OVERLAP = 600, 120
 MARKDOWN = (".md", ".markdown")
@@ -184,17 +185,28 @@ def chunk_documents(docs: DataFrame, keys: list[str], text: Column, suffix: Colu
 
 
 def window_chunks(docs: DataFrame, keys: list[str], size: int = MAX_CHARS) -> DataFrame:
-    """Overlapping windows of each text as one paragraph, in columns only: for texts without blank lines."""
+    """Overlapping windows of each text as one paragraph, in columns only and in time linear in the text: for texts without blank lines."""
     stride = max(1, size - OVERLAP)
-    length = F.length("text")
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((length - size) / stride)).cast("int"))
-    placed = docs.where(F.trim("text") != "").select(*keys, F.col("text").alias("_whole"), F.explode(starts).alias("chunk_index"))
-    start = F.col("chunk_index") * stride
-    end = F.least(start + size, F.length("_whole"))
-    spans = placed.select(*keys, "_whole", "chunk_index", start.alias("start_offset"), end.alias("end_offset"))
-    return spans.select(
-        *keys, "chunk_index", "start_offset", "end_offset",
-        line_at(F.col("_whole"), F.col("start_offset")).alias("start_line"),
-        line_at(F.col("_whole"), F.col("end_offset") - 1).alias("end_line"),
-        F.substring("_whole", F.col("start_offset") + 1, F.col("end_offset") - F.col("start_offset")).alias("text"),
+    more = size - stride
+    feeds = lambda t: (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))).cast("long")
+
+    def cut(blocks: Column) -> Column:
+        # the text is cut into strides once; a window is one of them and the head of what follows, which two strides hold
+        count = F.greatest(F.lit(1), F.ceil((F.size(blocks) * stride - stride + F.length(F.element_at(blocks, -1)) - more) / stride).cast("int"))
+        before = sums_before(F.transform(blocks, feeds))
+        zipped = F.arrays_zip(blocks.alias("block"), before.alias("feeds"))
+
+        def window(item: Column, k: Column) -> Column:
+            tail = F.concat(*[F.coalesce(F.get(blocks, k + j), F.lit("")) for j in range(1, 1 + -(-more // stride))])
+            text = F.concat(item["block"], F.substring(tail, 1, more))
+            return F.struct((k * stride).alias("start"), item["feeds"].alias("feeds"), text.alias("text"))
+
+        return F.slice(F.transform(zipped, window), F.lit(1), count)
+
+    blocks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{stride}}}"), F.lit(0))
+    placed = docs.where(~is_blank(F.col("text"))).select(*keys, F.posexplode(let(blocks, cut)).alias("chunk_index", "w"))
+    first = F.col("w.feeds") + 1
+    return placed.select(
+        *keys, "chunk_index", F.col("w.start").alias("start_offset"), (F.col("w.start") + F.length("w.text")).alias("end_offset"),
+        first.cast("int").alias("start_line"), (first + feeds(F.expr("substring(w.text, 1, length(w.text) - 1)"))).cast("int").alias("end_line"), F.col("w.text").alias("text"),
     )

@@ -1,8 +1,9 @@
 """Trigram full-text search: query language, BM25 and the short-query fallback.
 
-Statistics of a query's phrases come from one scan of the chunks and are a
-handful of numbers; a second scan scores. Nothing is shuffled but the top
-rows. A persisted posting table is a separate operator (``postings``).
+Over bare chunks, statistics of a query's phrases come from one scan and are
+a handful of numbers; a second scan scores. Nothing is shuffled but the top
+rows. A search of an index reads its posting table instead (``lookup``),
+and texts only of chunks that have all trigrams of a longer phrase.
 """
 
 from __future__ import annotations
@@ -10,15 +11,17 @@ from __future__ import annotations
 import bisect
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.arrays import let
 from lodestone.functions.text import contains_ascii, fold
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -57,10 +60,21 @@ class Phrase:
         needle = F.lit(self.text)
         return F.startswith(text, needle) if self.anchored else F.contains(text, needle)
 
+    @property
+    def grams(self) -> list[str]:
+        return [self.text[i : i + 3] for i in range(len(self.text) - 2)]
+
+    @property
+    def is_gram(self) -> bool:
+        return len(self.text) == 3 and not self.anchored
+
     def count(self, text: Column) -> Column:
         """Overlapping occurrences."""
         if self.anchored:
             return F.startswith(text, F.lit(self.text)).cast("double")
+        if not any(self.text[:n] == self.text[-n:] for n in range(1, len(self.text))):
+            gone = F.length(F.replace(text, F.lit(self.text), F.lit("")))
+            return (F.length(text) - gone).cast("double") / len(self.text)
         return F.regexp_count(text, F.lit("(?=" + re.sub(r"([^\w\s])", r"\\\1", self.text) + ")")).cast("double")
 
 
@@ -77,7 +91,7 @@ class Near:
         before L. This needs all places of all phrases at once, which nested
         column functions would find anew for every place.
         """
-        return near_counter([p.text for p in self.phrases], self.distance)(text)
+        return near_counter(tuple(p.text for p in self.phrases), self.distance)(text)
 
     def match(self, text: Column) -> Column:
         all_there = F.lit(True)
@@ -86,7 +100,8 @@ class Near:
         return all_there & (self.counts(text)[0] > 0)
 
 
-def near_counter(phrases: list[str], distance: int):
+@lru_cache(maxsize=256)
+def near_counter(phrases: tuple[str, ...], distance: int):
     def places(text: str, phrase: str) -> list[int]:
         out, at = [], text.find(phrase)
         while at >= 0:
@@ -330,44 +345,84 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").alias("n_chunks"), F.coalesce(F.sum(token_count(F.col("text"))), F.lit(0)).cast("long").alias("n_tokens"))
 
 
+def _gram_names(keys: np.ndarray) -> pa.Array:
+    """Texts of trigrams that are packed as three code points of 21 bits."""
+    codes = np.stack([keys >> np.uint64(42), keys >> np.uint64(21), keys], axis=1) & np.uint64((1 << 21) - 1)
+    return pa.array(["".join(map(chr, row)) for row in codes.tolist()], pa.string())
+
+
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows, terms, counts = [], [], []
-        for r, text in enumerate(batch.column("text").to_pylist()):
-            text = fold_text(text or "")
-            found = Counter(text[i : i + 3] for i in range(len(text) - 2))
-            rows += [r] * len(found)
-            terms += found.keys()
-            counts += found.values()
-        ids = batch.column("chunk_id").take(pa.array(rows, pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), ids, pa.array(counts, pa.int64())], ["term", "chunk_id", "tf"])
+    """Trigram counts of all texts of a batch at once, in slices that bound the arrays."""
+    for whole in batches:
+        for begin in range(0, len(whole), 2048):
+            batch = whole.slice(begin, 2048)
+            texts = [fold_text(t or "") for t in batch.column("text").to_pylist()]
+            lengths = np.array([len(t) for t in texts], np.int64)
+            codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+            if len(codes) < 3:
+                continue
+            keys = (codes[:-2] << np.uint64(42)) | (codes[1:-1] << np.uint64(21)) | codes[2:]
+            row = np.repeat(np.arange(len(texts)), lengths)[: len(keys)]
+            inside = np.arange(len(keys)) + 2 < np.cumsum(lengths)[row]
+            keys, row = keys[inside], row[inside]
+            if not len(keys):
+                continue
+            known, number = np.unique(keys, return_inverse=True)
+            # (row, trigram) as one number; its distinct values come in order of the row
+            pair, tf = np.unique(row * len(known) + number, return_counts=True)
+            row, number = pair // len(known), pair % len(known)
+            terms = pa.DictionaryArray.from_arrays(pa.array(number.astype(np.int32)), _gram_names(known)).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [terms, batch.column("chunk_id").take(pa.array(row)), pa.array(tf.astype(np.int64)), pa.array(lengths[row] - 2)], ["term", "chunk_id", "tf", "tokens"]
+            )
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """term, chunk_id, tf: every folded trigram of every chunk, counted where the chunk is, without a shuffle."""
-    return chunks.select("chunk_id", "text").mapInArrow(_count_grams, "term string, chunk_id long, tf long")
+    """term, chunk_id, tf, tokens: every folded trigram of every chunk and the chunk's length in trigrams, counted where the chunk is, without a shuffle."""
+    return chunks.select("chunk_id", "text").mapInArrow(_count_grams, "term string, chunk_id long, tf long, tokens long")
+
+
+def tree_of(query: str, is_pattern: bool):
+    return parse(query if is_pattern else match_query(query)) if is_pattern or query_terms(query) else NOTHING
+
+
+def idf_of(n: int, df: int) -> float:
+    idf = math.log((n - df + 0.5) / (df + 0.5))
+    return idf if idf > 0 else LEAST_IDF
 
 
-def bm25(chunks: DataFrame, query: str, is_pattern: bool) -> tuple[Column, Column]:
-    """Match condition and rank (more negative is better) of every chunk's ``text``.
+def _has_near(tree) -> bool:
+    inner = getattr(tree, "parts", None) or [p for p in (getattr(tree, "left", None), getattr(tree, "right", None)) if p is not None]
+    return isinstance(tree, Near) or any(map(_has_near, inner))
 
-    The statistics are those of all ``chunks``, however the result is
-    filtered afterwards. Ties of rank are for the caller to break.
+
+def scored(chunks: DataFrame, tree, stats: dict | None = None) -> DataFrame:
+    """``chunks`` with ``_hit`` and ``fts_rank`` (more negative is better) by a pattern's tree.
+
+    The statistics are those of all ``chunks`` unless ``stats`` has them: n,
+    tokens, and a number of chunks for each scored phrase (n0, n1, ...). A
+    text is folded once for all phrases. Ties of rank are for the caller to break.
     """
-    text = fold(F.col("text"))
-    tree = parse(query if is_pattern else match_query(query)) if is_pattern or query_terms(query) else NOTHING
-    phrases = scored_phrases(tree, text)
-    if not phrases:
-        return F.lit(False), F.lit(0.0)
-    sums = [F.coalesce(F.sum(p.match(text).cast("long")), F.lit(0)).alias(f"n{i}") for i, (p, _) in enumerate(phrases)]
-    stats = chunks.agg(F.count("*").alias("n"), F.coalesce(F.sum(token_count(F.col("text"))), F.lit(0)).alias("tokens"), *sums).first()
+    if tree is NOTHING:
+        return chunks.withColumns({"_hit": F.lit(False), "fts_rank": F.lit(0.0)})
+    # NEAR counts in a batch function, which no lambda can hold
+    with_text = (lambda body: body(fold(F.col("text")))) if _has_near(tree) else (lambda body: let(fold(F.col("text")), body))
+    if stats is None:
+        phrases = [p for p, _ in scored_phrases(tree, F.lit(""))]
+        there = with_text(lambda t: F.array(*[p.match(t).cast("long") for p in phrases]))
+        sums = [F.coalesce(F.sum(F.get("_there", F.lit(i))), F.lit(0)).alias(f"n{i}") for i in range(len(phrases))]
+        counted = chunks.select(token_count(F.col("text")).alias("_tokens"), there.alias("_there"))
+        stats = counted.agg(F.count("*").alias("n"), F.coalesce(F.sum("_tokens"), F.lit(0)).alias("tokens"), *sums).first().asDict()
     mean = stats["tokens"] / stats["n"] if stats["n"] and stats["tokens"] else 1.0
-    norm = K1 * (1 - B + B * token_count(F.col("text")) / F.lit(float(mean)))
-    rank = F.lit(0.0)
-    for i, (_, count) in enumerate(phrases):
-        idf = math.log((stats["n"] - stats[f"n{i}"] + 0.5) / (stats[f"n{i}"] + 0.5))
-        rank = rank - F.lit(idf if idf > 0 else LEAST_IDF) * (count * F.lit(K1 + 1) / (count + norm))
-    return matches(tree, text), rank
+
+    def judge(t: Column) -> Column:
+        norm = K1 * (1 - B + B * token_count(F.col("text")) / F.lit(float(mean)))
+        rank = F.lit(0.0)
+        for i, (_, count) in enumerate(scored_phrases(tree, t)):
+            rank = rank - F.lit(idf_of(stats["n"], stats[f"n{i}"])) * (count * F.lit(K1 + 1) / (count + norm))
+        return F.struct(matches(tree, t).alias("hit"), rank.alias("rank"))
+
+    return chunks.withColumn("_judged", with_text(judge)).withColumns({"_hit": F.col("_judged.hit"), "fts_rank": F.col("_judged.rank")}).drop("_judged")
 
 
 def uses_fallback(query: str, is_pattern: bool) -> bool:
@@ -377,8 +432,11 @@ def uses_fallback(query: str, is_pattern: bool) -> bool:
 
 def fts_topk(chunks: DataFrame, query: str, k: int, is_pattern: bool = False) -> DataFrame:
     """The best ``k`` chunks by BM25, ties to the smaller chunk_id: ``chunks`` with fts_rank and score."""
-    match, rank = bm25(chunks, query, is_pattern)
-    return chunks.where(match).withColumn("fts_rank", rank).orderBy("fts_rank", "chunk_id").limit(k).withColumn("score", -F.col("fts_rank"))
+    return _best(scored(chunks, tree_of(query, is_pattern)), k)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    return found.where("_hit").drop("_hit").orderBy("fts_rank", "chunk_id").limit(k).withColumn("score", -F.col("fts_rank"))
 
 
 def like_topk(chunks: DataFrame, query: str, k: int) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import contains_ascii
-from lodestone.functions.vectors import distance_to_score, hybrid_score, l2_distance, literal_vector
-from lodestone.operators.fts import bm25, fts_topk, like_topk, uses_fallback
+from lodestone.functions.vectors import distance_to_score, hybrid_score, l2_distance, literal_vector, require_distance
+from lodestone.operators.fts import fts_topk, like_topk, scored, tree_of, uses_fallback
 
 
 def knn_topk(vectors: DataFrame, query: list[float], k: int, id_column: str = "chunk_id") -> DataFrame:
@@ -20,6 +20,19 @@ def _ranked(found: DataFrame, limit: int) -> DataFrame:
     return found.withColumn("score", hybrid_score(F.col("fts_rank"), F.col("vec_distance"))).orderBy(F.desc("score"), "prior").limit(limit)
 
 
+def rerank_by_vector(top: DataFrame, order: list, vectors: DataFrame, vector: list[float], limit: int) -> DataFrame:
+    """Lexical candidates, a few rows with fts_rank, by the hybrid score; ties keep their ``order``, and one without a vector its text part."""
+    placed = _numbered(top, order)
+    # the candidates are broadcast, as their number is a parameter
+    near = vectors.join(F.broadcast(placed.select("chunk_id")), "chunk_id", "left_semi")
+    near = near.select("chunk_id", l2_distance(F.col("embedding"), literal_vector(vector)).alias("vec_distance"))
+    return _ranked(placed.join(near, "chunk_id", "left"), limit)
+
+
+def lexical_order(query: str, is_pattern: bool) -> list:
+    return [F.length("text"), F.col("chunk_id")] if uses_fallback(query, is_pattern) else [F.col("fts_rank"), F.col("chunk_id")]
+
+
 def fts_then_vector(
     chunks: DataFrame, vectors: DataFrame, query: str, vector: list[float], limit: int, candidates: int, is_pattern: bool = False
 ) -> DataFrame:
@@ -29,12 +42,16 @@ def fts_then_vector(
     lexical rank, so only their vector part counts.
     """
     top = like_topk(chunks, query, candidates) if uses_fallback(query, is_pattern) else fts_topk(chunks, query, candidates, is_pattern)
-    order = [F.length("text"), F.col("chunk_id")] if uses_fallback(query, is_pattern) else [F.col("fts_rank"), F.col("chunk_id")]
-    placed = _numbered(top, order)
-    # at most ``candidates`` rows are broadcast
-    near = vectors.join(F.broadcast(placed.select("chunk_id")), "chunk_id", "left_semi")
-    near = near.select("chunk_id", l2_distance(F.col("embedding"), literal_vector(vector)).alias("vec_distance"))
-    return _ranked(placed.join(near, "chunk_id", "left"), limit)
+    return rerank_by_vector(top, lexical_order(query, is_pattern), vectors, vector, limit)
+
+
+def nearest_numbered(vectors: DataFrame, vector: list[float], candidates: int) -> DataFrame:
+    return _numbered(knn_topk(vectors, vector, candidates).select("chunk_id", "vec_distance"), [F.col("vec_distance"), F.col("chunk_id")])
+
+
+def rerank_by_text(mine: DataFrame, limit: int) -> DataFrame:
+    """Vector candidates with fts_rank (null where the text does not match) by the hybrid score; a candidate must have its distance."""
+    return _ranked(mine.withColumn("vec_distance", require_distance(F.col("vec_distance"))), limit)
 
 
 def vector_then_fts(
@@ -44,13 +61,13 @@ def vector_then_fts(
 
     Lexical statistics are those of all chunks. A short literal ranks -1 where it occurs.
     """
-    top = _numbered(knn_topk(vectors, vector, candidates).select("chunk_id", "vec_distance"), [F.col("vec_distance"), F.col("chunk_id")])
+    top = nearest_numbered(vectors, vector, candidates)
     if uses_fallback(query, is_pattern):
-        match, rank = contains_ascii(F.col("text"), query), F.lit(-1.0)
+        found = chunks.withColumns({"_hit": contains_ascii(F.col("text"), query), "fts_rank": F.lit(-1.0)})
     else:
-        match, rank = bm25(chunks, query, is_pattern)
-    mine = chunks.join(F.broadcast(top), "chunk_id")
-    return _ranked(mine.withColumn("fts_rank", F.when(match, rank)), limit)
+        found = scored(chunks, tree_of(query, is_pattern))
+    mine = found.withColumn("fts_rank", F.when(F.col("_hit"), F.col("fts_rank"))).drop("_hit").join(F.broadcast(top), "chunk_id")
+    return rerank_by_text(mine, limit)
 
 
 def _numbered(top: DataFrame, order: list) -> DataFrame:

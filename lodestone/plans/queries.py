@@ -11,7 +11,10 @@ from lodestone.functions import text as tx
 from lodestone.functions import vectors as vx
 from lodestone.operators import catalog, fts, vector
 from lodestone.operators.chunking import chunk_documents, window_chunks
+from lodestone.plans import lookup
 from lodestone.plans import search as plan
+from lodestone.plans.lookup import POSTING, TextIndex, write_postings
+from lodestone.plans.store import Store, index_folder
 from lodestone.sources import files as file_source
 from lodestone.sources import sessions
 
@@ -40,6 +43,38 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("chunk_id", F.col("doc_id") * 1_000_000 + F.col("chunk_index"))
 
 
+_built: dict[tuple, dict[str, TextIndex]] = {}
+LANGUAGES = ("de", "en", "es", "fr")
+
+
+def _language() -> F.Column:
+    """The index that a chunk is in: one a language that is named, and one for all others and for none."""
+    return F.when(F.col("lang").isin(*LANGUAGES), F.col("lang")).otherwise("other")
+
+
+def text_indexes(spark: SparkSession, sf_dir: str, by_language: bool = False) -> dict[str, TextIndex]:
+    """Persisted chunks and postings of the documents, built when first asked for and used again while the table is the same."""
+    stamp = (spark.sparkContext.applicationId, sf_dir, by_language, *Store(spark, f"{sf_dir}/documents.parquet").stat())
+    if stamp not in _built:
+        root = index_folder(spark)
+        _chunks(spark, sf_dir).withColumn("shard", _language() if by_language else F.lit("all")).write.parquet(f"{root}/chunks")
+        chunks = spark.read.parquet(f"{root}/chunks")
+        sums = chunks.groupBy("shard").agg(F.count("*").alias("n"), F.sum(fts.token_count(F.col("text"))).alias("tokens")).collect()
+        found = {}
+        for row in sums:
+            mine = chunks.where(F.col("shard") == row["shard"])
+            write_postings(mine, f"{root}/postings-{row['shard']}")
+            postings = spark.read.schema(POSTING).parquet(f"{root}/postings-{row['shard']}")
+            found[row["shard"]] = TextIndex(postings, mine.drop("shard"), row["n"], row["tokens"])
+        _built[stamp] = found
+    return _built[stamp]
+
+
+def _text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    found = text_indexes(spark, sf_dir)
+    return found["all"] if found else TextIndex(spark.createDataFrame([], POSTING), _chunks(spark, sf_dir).limit(0), 0, 0)
+
+
 def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     """One vector by its id: what a provider returns for a query."""
     return list(_table(spark, sf_dir, "embeddings").where(F.col("vec_id") == VECTOR_ID).first()["embedding"])
@@ -101,7 +136,7 @@ def chunk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trigram_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fts.postings(_chunks(spark, sf_dir))
+    return fts.postings(_chunks(spark, sf_dir)).select("term", "chunk_id", "tf")
 
 
 def trigram_df(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,12 +148,17 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fts_literal_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.topk(_text_index(spark, sf_dir), LITERAL, 10).select("chunk_id", _score("score"))
+
+
+def fts_scan_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without an index, by a scan of all chunks."""
     return fts.fts_topk(_chunks(spark, sf_dir), LITERAL, 10).select("chunk_id", _score("score"))
 
 
 def _pattern(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fts.fts_topk(_chunks(spark, sf_dir), PATTERNS[name], 10, is_pattern=True).select("chunk_id", _score("score"))
+        return lookup.topk(_text_index(spark, sf_dir), PATTERNS[name], 10, is_pattern=True).select("chunk_id", _score("score"))
 
     return run
 
@@ -150,19 +190,18 @@ def vector_nonfinite_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hybrid(kind: str, query: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        chunks = _chunks(spark, sf_dir)
+        index = _text_index(spark, sf_dir)
         asked = plan.resolve(query=query, mode=kind)
-        found = plan.search(chunks, _chunk_vectors(spark, sf_dir, chunks), asked, _query_vector(spark, sf_dir), 10, 50)
+        found = plan.search(index.chunks, _chunk_vectors(spark, sf_dir, index.chunks), asked, _query_vector(spark, sf_dir), 10, 50, index)
         return found.select("chunk_id", _score("score"))
 
     return run
 
 
 def multi_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = _chunks(spark, sf_dir)
-    named = ("de", "en", "es", "fr")
-    indexes = {lang: (chunks.where(F.col("lang") == lang), None) for lang in named}
-    indexes["other"] = (chunks.where(F.col("lang").isNull() | ~F.col("lang").isin(*named)), None)
+    indexes = {lang: (index.chunks, None, index) for lang, index in text_indexes(spark, sf_dir, by_language=True).items()}
+    if not indexes:
+        return spark.createDataFrame([], "db_path string, chunk_id long, score double")
     found = plan.search_many(indexes, plan.resolve(query=LITERAL, mode="fts"), limit=10)
     return found.select("db_path", "chunk_id", _score("score"))
 
@@ -173,7 +212,7 @@ def files_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _file_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _files(spark, sf_dir).select("doc_id", "path")
-    return _chunks(spark, sf_dir).where(F.length("text") > 200).select("doc_id", "chunk_index").join(files, "doc_id")
+    return _chunks(spark, sf_dir).select("doc_id", "chunk_index").join(files, "doc_id")
 
 
 def roots_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,10 +255,11 @@ def ext_filter_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _session_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as session logs: a meta line, then a task line and a message for every turn."""
-    turns = _table(spark, sf_dir, "conversations")
+    padded = F.when(F.col("turn") % 5 == 1, F.concat(F.lit("\u3000"), F.col("text"), F.lit(" \u00a0"))).otherwise(F.col("text"))
+    turns = _table(spark, sf_dir, "conversations").withColumn("text", padded)
     conv = F.col("conv_id").cast("string")
     path = F.concat(F.lit("/sessions/"), F.lpad(conv, 9, "0"), F.lit(".jsonl"))
-    source = F.when(F.col("conv_id") % 9 == 4, F.lit('{"subagent":"x"}')).otherwise(F.lit('"cli"'))
+    source = F.when(F.col("conv_id") % 9 == 4, F.lit('{"subagent":"x"}')).when(F.col("conv_id") % 9 == 5, F.lit('{"kind":"subagent"}')).otherwise(F.lit('"cli"'))
     meta = F.concat(F.lit('{"timestamp":"t0","type":"session_meta","payload":{"id":"s'), conv, F.lit('","cwd":"/w","source":'), source, F.lit("}}"))
     task = F.concat(F.lit('{"type":"event_msg","payload":{"type":"task_started","turn_id":"'), F.col("turn").cast("string"), F.lit('"}}'))
     said = F.to_json(F.struct(
@@ -241,12 +281,18 @@ def session_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", tx.snippet(F.col("text")).alias("snippet"))
+    wide = F.when(F.col("doc_id") % 5 == 1, F.translate("text", " ", "\u3000")).otherwise(F.col("text"))
+    return _table(spark, sf_dir, "documents").select("doc_id", tx.snippet(F.concat(F.lit("\u00a0"), wide)).alias("snippet"))
+
+
+#: A model of each family, one whose name only begins like another's, and one that is not known.
+MODELS = ("intfloat/multilingual-e5-small", "cl-nagoya/ruri-v3-70m", "Qwen/Qwen3-Embedding-0.6B", "BAAI/bge-m3", "BAAI/bge-m3-unsupervised", "sbintuitions/sarashina-embedding-v2-1b", "pfnet/plamo-embedding-1b", "other/model")
 
 
 def prefix_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    policy = tx.prefix_policy("intfloat/multilingual-e5-small")
-    return _table(spark, sf_dir, "benchmark").select("item_id", tx.with_prefix(F.col("text"), policy).alias("passage"), tx.with_prefix(F.col("text"), policy, query=True).alias("query"))
+    texts = _table(spark, sf_dir, "benchmark")
+    each = [F.struct(F.lit(m).alias("model"), tx.with_prefix(F.col("text"), tx.prefix_policy(m)).alias("passage"), tx.with_prefix(F.col("text"), tx.prefix_policy(m), query=True).alias("query")) for m in MODELS]
+    return texts.select("item_id", F.explode(F.array(*each)).alias("m")).select("item_id", "m.*")
 
 
 def bench_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -311,20 +357,18 @@ _DIST = f"list_distance(e.embedding::DOUBLE[], {_QUERY})"
 _SESSIONS = """
 said AS (SELECT conv_id, turn, role, text, 's' || conv_id AS session_id, '/w' AS cwd, 't' || turn AS timestamp, turn::VARCHAR AS turn_id,
     '/sessions/' || lpad(conv_id::VARCHAR, 9, '0') || '.jsonl' AS session_path, (turn * 2 + 3)::INT AS line_no
-  FROM (SELECT * REPLACE (regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text) FROM conversations)
+  FROM (SELECT * REPLACE (regexp_replace(CASE WHEN turn % 5 = 1 THEN chr(12288) || text || ' ' || chr(160) ELSE text END, '^[WHITE]+|[WHITE]+$', '', 'g') AS text) FROM conversations)
   WHERE conv_id % 9 <> 4 AND text <> '' AND (role = 'user' OR (role = 'assistant' AND turn % 4 <> 3))
-    AND NOT (role = 'user' AND (starts_with(text, '# AGENTS.md instructions') OR starts_with(text, 'The following is the Codex agent history') OR contains(text, '<environment_context>'))))"""
+    AND NOT (role = 'user' AND (starts_with(text, '# AGENTS.md instructions') OR starts_with(text, 'The following is the Codex agent history') OR contains(text, '<environment_context>'))))""".replace("WHITE", tx.WHITE)
 
 
 def _multi_sql() -> str:
-    bodies, selects = [], []
-    for lang in ("de", "en", "es", "fr"):
-        own = _bm25([(p, "true") for p in _TERMS], _any(_TERMS), f"f_{lang}")
-        for name in ("stats", "tfs", "ranked"):
-            own = own.replace(f"{name} AS (", f"{name}_{lang} AS (").replace(f"FROM {name},", f"FROM {name}_{lang},").replace(f", {name})", f", {name}_{lang})")
-        bodies.append(f"f_{lang} AS (SELECT * FROM folded WHERE lang = '{lang}'), {own}")
-        selects.append(f"SELECT '{lang}' AS db_path, chunk_id, -fts_rank AS score FROM ranked_{lang} WHERE hit")
-    return f"WITH {_CHUNKS}, {', '.join(bodies)} SELECT db_path, chunk_id, round(score, 9) AS score FROM ({' UNION ALL '.join(selects)}) ORDER BY score DESC, db_path, chunk_id LIMIT 10"
+    """The top of all languages' indexes, each ranked by its own statistics; rows of other languages, or of none, are one index."""
+    named = ", ".join(f"'{lang}'" for lang in LANGUAGES)
+    own = _bm25([(p, "true") for p in _TERMS], _any(_TERMS), "sharded", ", db")
+    own = own.replace("stats AS (SELECT count(*)", "stats AS (SELECT db AS s_db, count(*)").replace("FROM sharded),\ntfs", "FROM sharded GROUP BY db),\ntfs").replace("FROM tfs, stats)", "FROM tfs JOIN stats ON s_db = db)")
+    return f"""WITH {_CHUNKS}, sharded AS (SELECT *, CASE WHEN lang IN ({named}) THEN lang ELSE 'other' END AS db FROM folded), {own}
+SELECT db AS db_path, chunk_id, round(-fts_rank, 9) AS score FROM ranked WHERE hit ORDER BY fts_rank, db, chunk_id LIMIT 10"""
 
 
 def _fts_vec_sql(candidates: str, rank: str) -> str:
@@ -351,10 +395,15 @@ def oracle_sql() -> dict[str, str]:
         "chunk_long_paragraph": f"{with_chunks} SELECT doc_id, chunk_index, start_offset, end_offset, text FROM chunks",
         "chunk_line_numbers": f"""{with_chunks} SELECT chunk_id, (length(substr(whole, 1, start_offset)) - length(replace(substr(whole, 1, start_offset), chr(10), '')) + 1)::INT AS start_line,
   (length(substr(whole, 1, end_offset - 1)) - length(replace(substr(whole, 1, end_offset - 1), chr(10), '')) + 1)::INT AS end_line FROM chunks""",
+        "chunk_paragraph_pack": _PACKED,
+        "session_chunks": f"""WITH {_SESSIONS}, cut AS (SELECT *, unnest(range(0, 1 + greatest(0, ceil((length(text) - 600) / 480.0))::BIGINT)) AS k FROM said)
+SELECT session_path, line_no, (row_number() OVER (PARTITION BY session_path ORDER BY line_no, k) - 1)::INT AS chunk_index, (k * 480)::INT AS start_offset,
+  least(k * 480 + 600, length(text))::INT AS end_offset, substr(text, k * 480 + 1, 600) AS text FROM cut""",
         "trigram_postings": f"{with_chunks} SELECT term, chunk_id, count(*) AS tf FROM (SELECT chunk_id, unnest(list_transform(range(1, greatest(1, length(t) - 1)), lambda i: substr(t, i, 3))) AS term FROM folded) GROUP BY ALL",
         "trigram_df": f"{with_chunks} SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS cf FROM (SELECT chunk_id, unnest(list_transform(range(1, greatest(1, length(t) - 1)), lambda i: substr(t, i, 3))) AS term FROM folded) GROUP BY term",
         "corpus_stats": f"{with_chunks} SELECT count(*) AS n_chunks, sum(d)::BIGINT AS n_tokens FROM folded",
         "fts_literal_topk": _topk(literal, _any(_TERMS)),
+        "fts_scan_topk": _topk(literal, _any(_TERMS)),
         "fts_pattern_and": _topk([("the", "contains(t, 'ing')"), ("ing", "contains(t, 'the')")], "contains(t, 'the') AND contains(t, 'ing')"),
         "fts_pattern_or": _topk([("tion the", "true"), ("enn", both), ("shn", both)], f"contains(t, 'tion the') OR ({both})"),
         "fts_pattern_not": _topk([("ation", "NOT contains(t, 'ing')")], "contains(t, 'ation') AND NOT contains(t, 'ing')"),
@@ -374,13 +423,13 @@ SELECT vec_id, round(u[1], 9) AS first, round(list_sum(list_transform(u, lambda
         "multi_index_merge": _multi_sql(),
         "files_list": f"WITH {_FILES} SELECT path, root_path, relative_path, size, mtime_ns, content_hash FROM files",
         "roots_summary": f"""WITH {_CHUNKS}, {_FILES} SELECT root_path, count(DISTINCT f.path) AS files, count(c.chunk_id) AS chunks FROM files f
-LEFT JOIN (SELECT * FROM chunks WHERE length(text) > 200) c ON c.doc_id = f.doc_id GROUP BY root_path""",
+LEFT JOIN chunks c ON c.doc_id = f.doc_id GROUP BY root_path""",
         "index_info": f"WITH {_CHUNKS}, {_FILES} SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM chunks) AS chunks",
         "remove_missing": f"WITH {_FILES} SELECT path FROM previous WHERE path NOT IN (SELECT path FROM files)",
         "changed_files": f"WITH {_FILES}, {_CHANGED} SELECT path, content_hash FROM changed",
         "index_stats": f"""WITH {_CHUNKS}, {_FILES}, {_CHANGED} SELECT (SELECT count(*) FROM files) AS scanned, (SELECT count(*) FROM changed) AS indexed,
   (SELECT count(*) FROM previous WHERE path NOT IN (SELECT path FROM files)) AS removed,
-  (SELECT count(*) FROM chunks c JOIN files f ON f.doc_id = c.doc_id JOIN changed g ON g.path = f.path WHERE length(c.text) > 200) AS chunks,
+  (SELECT count(*) FROM chunks c JOIN files f ON f.doc_id = c.doc_id JOIN changed g ON g.path = f.path) AS chunks,
   (SELECT count(*) FROM files) - (SELECT count(*) FROM changed) AS unchanged""",
         "metadata_upsert": """WITH new AS (SELECT n_name || CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE '+' END AS key, 'new' AS value FROM nation WHERE n_nationkey % 3 = 0)
 SELECT n_name AS key, n_regionkey::VARCHAR AS value FROM nation WHERE n_name NOT IN (SELECT key FROM new) UNION ALL SELECT key, value FROM new""",
@@ -389,13 +438,49 @@ SELECT n_name AS key, n_regionkey::VARCHAR AS value FROM nation WHERE n_name NOT
 WHERE (path LIKE '%.md' OR path LIKE '%.rst') AND NOT regexp_matches(path, '[02468][.]')""",
         "session_turns": f"WITH {_SESSIONS} SELECT session_id, cwd, role, text, timestamp, turn_id, session_path, line_no FROM said",
         "snippet": """SELECT doc_id, CASE WHEN length(f) > 160 THEN substr(f, 1, 157) || '...' ELSE f END AS snippet
-FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS f FROM documents)""",
-        "prefix_passage": "SELECT item_id, 'passage: ' || text AS passage, 'query: ' || text AS query FROM benchmark",
+FROM (SELECT doc_id, trim(regexp_replace(chr(160) || CASE WHEN doc_id % 5 = 1 THEN replace(text, ' ', chr(12288)) ELSE text END, '[WHITE]+', ' ', 'g'), ' ') AS f FROM documents)""".replace("WHITE", tx.WHITE),
+        "prefix_passage": _prefix_sql(),
         "bench_summary": """SELECT l_returnflag AS name, round(avg(l_quantity::DOUBLE), 6) AS mean, round(median(l_quantity::DOUBLE), 6) AS median, round(min(l_quantity::DOUBLE), 6) AS min,
   round(max(l_quantity::DOUBLE), 6) AS max, round(4.0 / avg(l_quantity::DOUBLE), 6) AS vectors_per_second, round(avg(l_extendedprice::DOUBLE) / avg(l_quantity::DOUBLE), 6) AS chars_per_second FROM lineitem GROUP BY 1""",
     }
 
 
+def _prefix_sql() -> str:
+    heads = (
+        ("query: ", "passage: "), ("検索クエリ: ", "検索文書: "), ("Instruct: Given a web search query, retrieve relevant passages that answer the query\nQuery:", ""), ("", ""),
+        ("query: ", "passage: "), ("task: 質問を与えるので、その質問に答えるのに役立つ関連文書を検索してください。\nquery: ", "text: "), ("", ""), ("query: ", "passage: "),
+    )
+    rows = ", ".join(f"('{m}', '{q}', '{p}')" for m, (q, p) in zip(MODELS, heads, strict=True))
+    return f"SELECT item_id, model, p || text AS passage, q || text AS query FROM benchmark, (VALUES {rows}) AS known(model, q, p)"
+
+
+_PACKED = """WITH RECURSIVE turns AS (SELECT conv_id, turn, text, coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos,
+  lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) IS NULL AS closing FROM conversations),
+whole AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS body FROM turns GROUP BY conv_id),
+para AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, text, pos, length(text) AS len, pos + length(text) + CASE WHEN closing THEN 0 ELSE 1 END AS stop FROM turns WHERE text <> ''),
+summed AS (SELECT *, sum(len) OVER (PARTITION BY conv_id ORDER BY i)::BIGINT AS upto, count(*) OVER (PARTITION BY conv_id) AS total FROM para),
+walk(conv_id, i, held, lo, hi) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM para
+  UNION ALL
+  SELECT w.conv_id, p.i,
+    CASE WHEN p.len > 600 THEN NULL WHEN w.held IS NULL THEN p.i WHEN p.upto - s.upto + s.len + 2 * (p.i - w.held) <= 600 THEN w.held WHEN q.len + 2 + p.len <= 600 THEN w.i ELSE p.i END,
+    CASE WHEN p.len > 600 OR p.upto - s.upto + s.len + 2 * (p.i - w.held) > 600 THEN w.held END,
+    CASE WHEN w.held IS NOT NULL AND (p.len > 600 OR p.upto - s.upto + s.len + 2 * (p.i - w.held) > 600) THEN w.i END
+  FROM walk w JOIN summed p ON p.conv_id = w.conv_id AND p.i = w.i + 1
+  LEFT JOIN summed q ON q.conv_id = w.conv_id AND q.i = w.i LEFT JOIN summed s ON s.conv_id = w.conv_id AND s.i = w.held),
+runs AS (SELECT conv_id, i, 0 AS kind, lo, hi FROM walk WHERE hi IS NOT NULL
+  UNION ALL SELECT w.conv_id, w.i + 1, 0, w.held, w.i FROM walk w JOIN summed p ON p.conv_id = w.conv_id AND p.i = w.i WHERE w.i = p.total AND w.held IS NOT NULL),
+packed AS (SELECT r.conv_id, r.i, r.kind, 0 AS k, min(p.pos) AS a, max(p.stop) AS b, string_agg(p.text, chr(10) || chr(10) ORDER BY p.i) AS text
+  FROM runs r JOIN summed p ON p.conv_id = r.conv_id AND p.i BETWEEN r.lo AND r.hi GROUP BY r.conv_id, r.i, r.kind),
+spans AS (SELECT *, unnest(range(0, 1 + ceil((len - 600) / 480.0)::BIGINT)) AS k FROM summed WHERE len > 600),
+wide AS (SELECT conv_id, i, 1 AS kind, k, pos + k * 480 AS a, pos + least(k * 480 + 600, len) AS b, substr(text, k * 480 + 1, 600) AS text FROM spans),
+parts AS (SELECT * FROM packed UNION ALL SELECT * FROM wide)
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY i, kind, k) - 1)::INT AS chunk_index, a::INT AS start_offset, b::INT AS end_offset,
+  (length(substr(body, 1, a)) - length(replace(substr(body, 1, a), chr(10), '')) + 1)::INT AS start_line,
+  (length(substr(body, 1, greatest(a, b - 1))) - length(replace(substr(body, 1, greatest(a, b - 1)), chr(10), '')) + 1)::INT AS end_line, text
+FROM parts JOIN whole USING (conv_id)"""
+
+
 def _near_condition(a: str, b: str, n: int) -> str:
     """Instances of two phrases at most ``n`` trigram positions apart."""
     return f"len(list_filter({_SEQUENCE(a)}, lambda p: len(list_filter({_SEQUENCE(b)}, lambda q: greatest(q - p - {len(a) - 2}, p - q - {len(b) - 2}) <= {n})) > 0))"
@@ -411,7 +496,7 @@ def _near_sql(a: str, b: str, n: int, first: str) -> str:
 
 def queries() -> dict[str, Query]:
     plain = [
-        chunk_long_paragraph, chunk_line_numbers, chunk_paragraph_pack, chunk_markdown, trigram_postings, trigram_df, corpus_stats, fts_literal_topk,
+        chunk_long_paragraph, chunk_line_numbers, chunk_paragraph_pack, chunk_markdown, trigram_postings, trigram_df, corpus_stats, fts_literal_topk, fts_scan_topk,
         like_fallback_topk, vec_knn_topk, vec_score, vector_normalize, vector_nonfinite_guard, multi_index_merge, files_list, roots_summary, index_info,
         remove_missing, changed_files, index_stats, metadata_upsert, content_hash, ext_filter_exclude, session_turns, session_chunks, snippet, prefix_passage,
         bench_summary,

@@ -8,6 +8,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import strip
 from lodestone.operators.chunking import MAX_CHARS, chunk_documents
 
 #: User messages that begin with, or contain, these are not the user's.
@@ -39,7 +40,7 @@ def _text_of(content: Column) -> Column:
     parts = F.from_json(content, "array<struct<text:string>>")
     texts = F.filter(F.transform(parts, lambda p: p["text"]), lambda t: t.isNotNull() & (t != ""))
     joined = F.when(F.startswith(F.ltrim(content), F.lit("[")), F.array_join(texts, "\n")).otherwise(content)
-    return F.regexp_replace(F.coalesce(joined, F.lit("")), r"^\s+|\s+$", "")
+    return strip(F.coalesce(joined, F.lit("")))
 
 
 def turns(lines: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def turns(lines: DataFrame) -> DataFrame:
 
     ``lines`` has path, line_no and line. A session's id, directory and kind
     hold from its meta line to the next, a turn's id from its start on,
-    across metas. Lines of subagent sessions and lines before any meta are
+    across metas. A session is a subagent's if its source is an object with that key. Lines of subagent sessions and lines before any meta are
     passed over, and so are lines that are no JSON object.
     """
     of = lambda path: F.get_json_object("line", path)
@@ -56,7 +57,7 @@ def turns(lines: DataFrame) -> DataFrame:
     by_line = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     parsed = lines.where(F.startswith(F.ltrim("line"), F.lit("{")) & F.startswith(F.ltrim(of("$.payload")), F.lit("{"))).select(
         "path", "line_no", kind.alias("kind"), inner.alias("inner"),
-        F.when(kind == "session_meta", F.struct(of("$.payload.id").alias("id"), of("$.payload.cwd").alias("cwd"), (F.startswith(source, F.lit("{")) & source.contains('"subagent"')).alias("sub"))).alias("meta"),
+        F.when(kind == "session_meta", F.struct(of("$.payload.id").alias("id"), of("$.payload.cwd").alias("cwd"), F.coalesce(F.array_contains(F.json_object_keys(source), "subagent"), F.lit(False)).alias("sub"))).alias("meta"),
         of("$.payload.turn_id").alias("turn"), of("$.payload.role").alias("role"), of("$.payload.phase").alias("phase"),
         of("$.payload.content").alias("content"), of("$.timestamp").alias("timestamp"),
     )
