@@ -67,20 +67,52 @@ def scan(roots: list[str], extensions: list[str] | None = None, excludes: list[s
     return [found[p] for p in sorted(found, key=lambda p: p.split(os.sep))], excluded
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["path", "root_path", "relative_path", "size", "mtime_ns", "content_hash", "text"]
-    kinds = [pa.string()] * 3 + [pa.int64()] * 2 + [pa.string()] * 2
-    for batch in batches:
-        for row in batch.to_pylist():
-            try:
-                stat = os.stat(row["path"])
-                with open(row["path"], "rb") as file:
-                    content = file.read()
-                text = content.decode("utf-8")
-            except (OSError, UnicodeDecodeError):
-                continue
-            values = [row["path"], row["root_path"], row["relative_path"], stat.st_size, stat.st_mtime_ns, hashlib.sha256(content).hexdigest(), text]
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
+def _reader(content: bool, text: bool):
+    """Rows of files that can be read: with hashes if ``content`` is read, and texts if they are UTF-8 and wanted."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                found = _one(row, content, text)
+                if found:
+                    yield pa.RecordBatch.from_pylist([found], schema=_ARROW if text else _ARROW.remove(len(_ARROW) - 1))
+
+    return read
+
+
+_ARROW = pa.schema([(n, pa.int64() if n in ("size", "mtime_ns") else pa.string()) for n in ("path", "root_path", "relative_path", "size", "mtime_ns", "content_hash", "text")])
+
+
+def _one(row: dict, content: bool, text: bool) -> dict | None:
+    try:
+        stat = os.stat(row["path"])
+        found = dict(row, size=stat.st_size, mtime_ns=stat.st_mtime_ns, content_hash=None)
+        if content:
+            with open(row["path"], "rb") as file:
+                raw = file.read()
+            decoded = raw.decode("utf-8")
+            found["content_hash"] = hashlib.sha256(raw).hexdigest()
+            if text:
+                found["text"] = decoded
+    except (OSError, UnicodeDecodeError):
+        return None
+    return found
+
+
+def _listed(spark: SparkSession, candidates: list[Candidate], per_task: int) -> DataFrame:
+    rows = [(c.path, c.root_path, c.relative_path) for c in candidates]
+    listed = spark.createDataFrame(rows, "path string, root_path string, relative_path string")
+    return listed.repartition(max(1, len(rows) // per_task), "path")
+
+
+def stat_files(spark: SparkSession, candidates: list[Candidate], per_task: int = 4096) -> DataFrame:
+    """The files' states without a hash: no byte of them is read."""
+    return _listed(spark, candidates, per_task).mapInArrow(_reader(False, False), FILE_SCHEMA.removesuffix(", text string"))
+
+
+def hash_files(spark: SparkSession, candidates: list[Candidate], per_task: int = 256) -> DataFrame:
+    """The files' states; those that are not UTF-8 or cannot be read are left out."""
+    return _listed(spark, candidates, per_task).mapInArrow(_reader(True, False), FILE_SCHEMA.removesuffix(", text string"))
 
 
 def read_files(spark: SparkSession, candidates: list[Candidate], per_task: int = 256) -> DataFrame:
@@ -88,9 +120,7 @@ def read_files(spark: SparkSession, candidates: list[Candidate], per_task: int =
 
     Every executor must see the paths, as with any file source.
     """
-    rows = [(c.path, c.root_path, c.relative_path) for c in candidates]
-    listed = spark.createDataFrame(rows, "path string, root_path string, relative_path string")
-    return listed.repartition(max(1, len(rows) // per_task), "path").mapInArrow(_read, FILE_SCHEMA)
+    return _listed(spark, candidates, per_task).mapInArrow(_reader(True, True), FILE_SCHEMA)
 
 
 def suffix_filter(path: Column, extensions: list[str] | None = None) -> Column:

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import strip
 from lodestone.operators.chunking import MAX_CHARS, chunk_documents
+from lodestone.sources.files import Candidate
+
+#: Fixed value: the kind that an index of session logs names itself.
+INDEX_KIND = "codex-history"
 
 #: User messages that begin with, or contain, these are not the user's.
 SKIPPED_HEADS = ("# AGENTS.md instructions", "The following is the Codex agent history")
@@ -29,6 +33,16 @@ def session_files(roots: list[str]) -> list[str]:
     return sorted(found)
 
 
+def candidates(roots: list[str]) -> list[Candidate]:
+    """The session files with the root they are below: of several, the one of the shortest path."""
+    folders = sorted((os.path.dirname(r) if os.path.isfile(r) else r for r in map(os.path.realpath, roots)), key=lambda r: (len(r), r))
+    out = []
+    for path in session_files(roots):
+        root = next((r for r in folders if os.path.commonpath([path, r]) == r), os.path.dirname(path))
+        out.append(Candidate(path, root, os.path.relpath(path, root).replace(os.sep, "/")))
+    return out
+
+
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """path, line_no (from 1) and line of every line of the files."""
     whole = spark.read.text(paths, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/").alias("path"), "value")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as tx
 from lodestone.functions import vectors as vx
 from lodestone.operators import catalog, fts, vector
-from lodestone.plans import queries
+from lodestone.plans import lookup, queries
 from lodestone.plans import search as plan
 
 
@@ -63,10 +63,16 @@ def test_bad_patterns_raise(pattern):
 
 
 def test_literal_queries_become_trigrams():
-    assert fts.match_query("日本語検索") == '"日本語" OR "本語検" OR "語検索"'
-    assert fts.match_query('ab"cd') == '"ab""" OR "b""c" OR """cd"'
-    assert fts.query_terms("aaaaaa") == ["aaa"]
-    assert len(fts.query_terms("".join(chr(0x4E00 + i) for i in range(140)))) == 128
+    for query in (" rosé 葡萄酒 ", 'x"y"z"', "ooooooo", "Mm mM", "".join(map(chr, range(0x3041, 0x3041 + 200))), "zz"):
+        bare = query.strip()
+        want = []
+        for at in range(len(bare) - 2):
+            if bare[at : at + 3] not in want and len(want) < 128:
+                want.append(bare[at : at + 3])
+        assert fts.query_terms(query) == want
+        parts = [] if not want else fts.parse(fts.match_query(query))
+        parts = getattr(parts, "parts", [parts]) if want else []
+        assert [p.text for p in parts] == [w.lower() for w in want]
 
 
 def test_literal_search_and_fallback(chunks, fts5):
@@ -82,6 +88,36 @@ def test_fallback_folds_ascii_only(spark):
     assert [r.chunk_id for r in fts.like_topk(rows, "%_", 9).collect()] == [3]
 
 
+@pytest.fixture(scope="module")
+def index(spark, corpus, chunks, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("lookup") / "postings")
+    lookup.write_postings(chunks, path, rows_per_file=50)
+    return lookup.TextIndex(spark.read.schema(lookup.POSTING).parquet(path), chunks, len(corpus), sum(max(0, len(t) - 2) for t in corpus))
+
+
+@pytest.mark.parametrize("pattern", [*PATTERNS, "abcd OR bcda", "NEAR(abc dda, 3) OR ccc", "(abcd AND bcd) NOT (dda OR abca)", "ab", "path:abc", "abc + dda"])
+def test_lookups_equal_scans(chunks, index, pattern):
+    """Through the posting table every pattern gives what a scan of all chunks does, rank for rank."""
+    want = [(r.chunk_id, r.text, pytest.approx(r.fts_rank, rel=1e-12)) for r in fts.fts_topk(chunks, pattern, 40, is_pattern=True).collect()]
+    got = lookup.topk(index, pattern, 40, is_pattern=True).orderBy("fts_rank", "chunk_id").collect()
+    assert sorted((r.chunk_id, r.text, r.fts_rank) for r in got) == sorted(want, key=lambda w: w[0])
+
+
+def test_lookups_prune_buckets(index):
+    plan_ = index.postings.where((F.col("bucket") == 3) & (F.col("term") == "abc"))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan_ and "PushedFilters: [IsNotNull(term), EqualTo(term,abc)]" in plan_
+
+
+def test_searches_with_and_without_postings_agree(chunks, vectors, index):
+    q = [0.1, 0.2, -0.3, 0.4]
+    for mode, query in [("fts", "abcd"), ("fts", "bc"), ("fts-vec", "abcd"), ("vec-fts", "abcd"), ("vec-fts", "bc"), ("fts-vec", "bc")]:
+        asked = plan.resolve(query=query, mode=mode)
+        rows = [plan.search(chunks, vectors, asked, q, 8, 20, text).orderBy("place").collect() for text in (None, index)]
+        assert [(r.chunk_id, round(r.score, 12), r.source) for r in rows[0]] == [(r.chunk_id, round(r.score, 12), r.source) for r in rows[1]] and rows[0]
+        many = [plan.search_many({"x": (chunks, vectors, *more), "y": (chunks, vectors, *more)}, asked, q, 6, 20).collect() for more in ((), (index,))]
+        assert [(r.db_path, r.chunk_id, round(r.score, 12)) for r in many[0]] == [(r.db_path, r.chunk_id, round(r.score, 12)) for r in many[1]]
+
+
 def test_postings_count_overlapping_trigrams(chunks, corpus):
     got = {(r.chunk_id, r.term): r.tf for r in fts.postings(chunks).collect()}
     want = {}
@@ -154,10 +190,21 @@ def test_rows_of_any_language_are_in_an_index(spark, tmp_path):
 
 
 def test_text_functions(spark):
-    row = spark.createDataFrame([("a \n b" + " x" * 100,)], "t string").select(tx.snippet(F.col("t")).alias("s")).first()
-    assert len(row.s) == 160 and row.s.endswith("...") and row.s.startswith("a b x")
-    assert tx.prefix_policy("intfloat/multilingual-e5-small") == "e5" and tx.prefix_policy("cl-nagoya/ruri-v3-70m") == "ruri-v3"
-    assert tx.PREFIXES["e5"] == ("query: ", "passage: ")
+    spaces = [c for c in map(chr, range(0x3001)) if c.isspace()]
+    texts = ["p" + c + c + "q" for c in spaces] + [c + "r" + c for c in spaces] + ["s \n t" + "\u3000u" * 100, "v\u200bw", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    for r in rows.select("k", tx.snippet(F.col("t")).alias("short"), tx.strip(F.col("t")).alias("bare"), tx.is_blank(F.col("t")).alias("blank")).collect():
+        flat = " ".join(texts[r.k].split())
+        assert r.short == (flat if len(flat) <= 160 else flat[:157] + "...") and r.bare == texts[r.k].strip() and r.blank == (not flat)
+    families = {"cl-nagoya/ruri-v3-30m": "ruri-v3", "BAAI/bge-m3": "bge-m3", "BAAI/bge-m3-unsupervised": "e5", "my/model": "e5", "pfnet/plamo-embedding-1b": "plamo", "pfnet/plamo-embedding-1b-x": "e5"}
+    assert {m: tx.prefix_policy(m) for m in families} == families
+
+
+def test_a_missing_distance_stops_the_query(spark):
+    rows = spark.createDataFrame([(1.0,), (None,)], "d double")
+    with pytest.raises(Exception, match="rebuild the index"):
+        rows.select(vx.require_distance(F.col("d"))).collect()
+    assert rows.where("d > 0").select(vx.require_distance(F.col("d"))).first()[0] == 1.0
 
 
 def test_finite_guard(spark):
