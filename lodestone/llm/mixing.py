@@ -81,8 +81,8 @@ def _solve(cells: DataFrame, totals: dict, goal: dict, cap: float, tolerance: fl
             else:
                 high[s] = now[s]
             step = now[s] - (f - goal[s]) / d if d > 0 else math.nan
-            # every third step halves the bracket, so a bad curve costs rounds and not the result
-            now[s] = step if low[s] < step < high[s] and turn % 3 < 2 else (low[s] + high[s]) / 2
+            # now and then a step halves the bracket, so a bad curve costs rounds and not the result
+            now[s] = step if low[s] < step < high[s] and turn % 16 < 12 else (low[s] + high[s]) / 2
     if going:
         raise RuntimeError(f"no multiplier found in {rounds} rounds for the sources {sorted(map(repr, going))}")
     return {s: (now[s] / scale[s] if goal[s] > 0 else -math.inf) for s in live}
