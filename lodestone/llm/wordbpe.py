@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
-from lodestone.llm.textarrays import text_bytes
+from lodestone.llm.textarrays import span_hashes, text_bytes
 
 #: The normaliser, pre-tokeniser and word end of the files read here.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -89,6 +89,19 @@ class _PairTable:
         return out
 
 
+def _places(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of all bytes of some runs, run after run."""
+    return np.arange(int(lengths.sum())) + np.repeat(starts - np.cumsum(lengths) + lengths, lengths)
+
+
+def _equal_spans(a: np.ndarray, starts_a: np.ndarray, b: np.ndarray, starts_b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which of the runs of bytes in ``a`` and ``b``, of equal lengths of at least 1, are equal."""
+    if not len(lengths):
+        return np.zeros(0, bool)
+    differ = a[_places(starts_a, lengths)] != b[_places(starts_b, lengths)]
+    return np.add.reduceat(differ, np.cumsum(lengths) - lengths, dtype=np.int64) == 0
+
+
 class WordBpe:
     """Encoder of one `tokenizers` file; see the module's text."""
 
@@ -177,28 +190,42 @@ class WordBpe:
     def _known(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Where in ``_flat`` the symbols of each of the distinct ``words`` (binary) begin and how many there are.
 
-        Words met before, byte for byte, are not encoded again. The memory of
-        words starts anew once it holds ``_MOST_WORDS``, so it is bounded.
+        Words met before are not encoded again: they are found by hash and
+        then compared byte for byte. One that shares its hash with another is
+        encoded whenever it comes. The memory of words starts anew once it
+        holds ``_MOST_WORDS``, so it is bounded.
         """
         if len(self._seen) > _MOST_WORDS:
             self._forget()
-        keys = words.to_pylist()
-        number = np.array([self._seen.get(k, -1) for k in keys], np.int64)
-        fresh = np.flatnonzero(number < 0)
+        data, offsets = text_bytes(words)
+        starts, lengths = offsets[:-1], np.diff(offsets)
+        hashes = span_hashes(data, starts, offsets[1:])
+        at = np.minimum(np.searchsorted(self._seen, hashes), len(self._seen) - 1)
+        met = self._seen[at] == hashes
+        same = met & (self._lengths[at] == lengths)
+        same[same] = _equal_spans(data, starts[same], self._letters, self._starts[at[same]], lengths[same])
+        begin, counts = self._begin[at], self._counts[at]
+        fresh = np.flatnonzero(~same)
         if len(fresh):
-            data, offsets = text_bytes(words)
-            flat, n = self._encode_words(data, offsets[fresh], offsets[fresh + 1])
-            number[fresh] = len(self._begin) + np.arange(len(fresh))
-            self._begin = np.concatenate([self._begin, len(self._flat) + np.cumsum(n) - n])
-            self._counts = np.concatenate([self._counts, n])
+            flat, n = self._encode_words(data, starts[fresh], offsets[1:][fresh])
+            begin[fresh], counts[fresh] = len(self._flat) + np.cumsum(n) - n, n
             self._flat = np.concatenate([self._flat, flat])
-            self._seen.update((keys[w], int(number[w])) for w in fresh)
-        return self._begin[number], self._counts[number]
+            new = fresh[~met[fresh]]
+            order = new[np.argsort(hashes[new], kind="stable")]
+            order = order[np.append(True, hashes[order[1:]] != hashes[order[:-1]])] if len(order) else order
+            place = np.searchsorted(self._seen, hashes[order])
+            self._seen = np.insert(self._seen, place, hashes[order])
+            self._starts = np.insert(self._starts, place, len(self._letters) + np.cumsum(lengths[order]) - lengths[order])
+            self._letters = np.concatenate([self._letters, data[_places(starts[order], lengths[order])]])
+            self._lengths = np.insert(self._lengths, place, lengths[order])
+            self._begin = np.insert(self._begin, place, begin[order])
+            self._counts = np.insert(self._counts, place, counts[order])
+        return begin, counts
 
     def _forget(self) -> None:
-        self._seen: dict[bytes, int] = {}
-        self._begin, self._counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self._flat = np.zeros(0, np.int32)
+        self._seen = np.array([np.iinfo(np.uint64).max], np.uint64)
+        self._starts, self._lengths, self._begin, self._counts = np.zeros((4, 1), np.int64) - [[0], [1], [0], [0]]
+        self._letters, self._flat = np.zeros(0, np.uint8), np.zeros(0, np.int32)
 
     def _pieces(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the pre-tokens, in characters."""

@@ -293,6 +293,18 @@ def test_packing_of_a_word_with_many_forms(spark):
     assert found == {k: [*bpe.library.encode(t, add_special_tokens=False).ids, 2] for k, t in enumerate(texts)}
 
 
+def test_words_of_one_hash_are_told_apart_by_their_bytes(monkeypatch):
+    """With a hash that all words share, ids are still the library's."""
+    from lodestone.llm import wordbpe
+
+    monkeypatch.setattr(wordbpe, "span_hashes", lambda data, starts, ends: np.full(len(starts), 7, np.uint64))
+    bpe = wordbpe.WordBpe(vocabulary())
+    texts = ["some words of some texts", "other words, and of other lengths", "some words of some texts", ""]
+    for text in texts:
+        assert bpe.encode(pa.array([text]))[0].tolist() == bpe.library.encode(text, add_special_tokens=False).ids
+    assert len(bpe._seen) == 2
+
+
 def test_digests_of_sets_name_nodes(spark):
     from lodestone.llm.textarrays import set_digest, shingle_sets, text_bytes
 
