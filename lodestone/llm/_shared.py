@@ -93,18 +93,32 @@ def join_counted(rows: DataFrame, values: DataFrame, keys: list[str], count: str
     ``values`` must be a written table, and keys must not be null. A key that
     holds more than 1 / HOT_KEYS of the rows would make a task of its own in
     a shuffle join. There are fewer than HOT_KEYS of those, as their counts
-    add up to the rows, so they are broadcast; all others are shuffled. The
+    add up to the rows, so their values are broadcast; rows that have them
+    are then spread over all tasks of the shuffle that the others need. The
     column ``count`` is dropped.
     """
     most = values.agg(F.sum(count).alias("total"), F.max(count).alias("most")).first()
     limit = max(1, (most["total"] or 0) // HOT_KEYS)
-    plain = values.drop(count)
+    others = [c for c in values.columns if c not in (*keys, count)]
     if (most["most"] or 0) <= limit:
-        return rows.join(plain, keys)
-    hot = F.broadcast(values.where(F.col(count) > limit).drop(count))
-    cold = values.where(F.col(count) <= limit).drop(count)
-    others = rows.join(F.broadcast(values.where(F.col(count) > limit).select(*keys)), keys, "left_anti")
-    return rows.join(hot, keys).unionByName(others.join(cold, keys))
+        return rows.join(values.drop(count), keys)
+
+    def side(name: str, kept: DataFrame) -> DataFrame:
+        return kept.select(*[F.col(k).alias(f"{name}{k}") for k in keys], F.struct(*others, F.lit(1).alias(name)).alias(name))
+
+    def same(name: str):
+        out = F.lit(True)
+        for k in keys:
+            out = out & (F.col(k) == F.col(f"{name}{k}"))
+        return out
+
+    hot, cold = side("_hot", values.where(F.col(count) > limit)), side("_cold", values.where(F.col(count) <= limit))
+    met = rows.join(F.broadcast(hot), same("_hot"), "left")
+    spread = F.when(F.col("_hot").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.lit(HOT_KEYS)) + 1).otherwise(F.lit(0).cast("long"))
+    both = met.withColumn("_spread", spread).join(cold.withColumn("_zero", F.lit(0).cast("long")), same("_cold") & (F.col("_spread") == F.col("_zero")), "left")
+    found = both.where(F.col("_hot").isNotNull() | F.col("_cold").isNotNull())
+    mine = [F.col(c) for c in rows.columns if c not in keys]
+    return found.select(*keys, *mine, *[F.when(F.col("_hot").isNotNull(), F.col(f"_hot.{c}")).otherwise(F.col(f"_cold.{c}")).alias(c) for c in others])
 
 
 def row_key(*columns: str) -> list[Column]:

@@ -111,7 +111,7 @@ def repeated_windows(docs: DataFrame, least_words: int) -> DataFrame:
         named = materialize(named.select(*_POSITION, "lines", "rank", "tail"), "named")
         earliest = named.groupBy("lines", "rank", "tail").agg(F.count("*").alias("n"), F.min(F.struct(*_POSITION)).alias("least")).where("n > 1")
         later = join_counted(named, materialize(earliest, "earliest"), ["lines", "rank", "tail"]).where(F.struct(*_POSITION) > F.col("least"))
-        found.append(later.select(*_POSITION, "lines"))
+        found.append(materialize(later.select(*_POSITION, "lines"), "later"))
         if 2 * power <= longest:
             pairs = level.withColumn("_tail", F.col("start") + power).join(ends, ["_k1", "_k2", "_tail"]).select(*_POSITION, "rank", "tail")
             pairs = materialize(pairs, "pairs")
