@@ -103,9 +103,9 @@ class Model:
         best = scores.argmax(axis=1)
         share = odds[np.arange(len(x)), best] / odds.sum(axis=1)
         # a lone language is up against the target of a text that is not of it
-        top = np.sort(np.hstack([scores, np.full((len(x), 1), -1.0 if len(self.languages) == 1 else -np.inf)]), axis=1)
+        lead = scores.max(axis=1) - (scores.mean(axis=1) if len(self.languages) > 1 else -1.0)
         for r in range(len(x)):
-            yield (self.languages[best[r]], float(share[r]), float(top[r, -1] - top[r, -2])) if letters[r] else (UNKNOWN, 0.0, 0.0)
+            yield (self.languages[best[r]], float(share[r]), float(lead[r])) if letters[r] else (UNKNOWN, 0.0, 0.0)
 
 
 def train(texts: list[str], labels: list[str], languages: list[str], landmarks: int, longest: int, ridge: float) -> Model:
@@ -200,7 +200,7 @@ def identify(docs: DataFrame, model: Model, keep_text: bool = False, names: tupl
     Scores are one-versus-rest ridge regressions in the Nyström space of the
     landmarks, aimed at 1 and -1. ``score`` is the predicted language's share
     of exp(4 * score), which falls as languages are added; ``margin`` is the
-    lead over the second, which does not (with one language, over -1).
+    lead over the mean of all, which does not (with one language, over -1).
 
     ``und`` with score and margin 0 if the text is null or has no letter, or
     if nothing could be learned. Repeated rows get equal results, ties go to
