@@ -12,7 +12,7 @@ from lodestone.llm import language_id, linededup, minhash, mixing, packing
 from lodestone.llm._shared import documents_of, materialize, release, written
 from lodestone.llm.queries import vocabulary
 
-#: A document is rejected if it has no letters or its language leads the next by less than this.
+#: A document is rejected if it has no letters or no language leads the mean of all by this.
 LEAST_MARGIN = 0.05
 LEAST_WORDS = 50
 SHINGLE, PERCENT = 5, 80
@@ -51,9 +51,9 @@ def _stage(body: Stage) -> Stage:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognised language go.
 
-    Null and empty texts and those without a letter go, and so do texts whose
-    two best languages are all but level (a tie among them), which no number
-    of languages makes more likely. Repeated rows stay or go together. Null
+    Null and empty texts and those without a letter go, and so do texts for
+    which all languages are all but level, which more languages do not make
+    more likely; a tie of two goes to the first and stays. Repeated rows stay or go together. Null
     ids and labels are rows like others. If nothing is labelled, all go. An
     empty table stays empty.
     """
