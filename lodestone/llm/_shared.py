@@ -6,9 +6,12 @@ import atexit
 import os
 import shutil
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from py4j.protocol import Py4JError
-from pyspark import SparkContext
+from pyspark import SparkContext, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,6 +124,53 @@ def join_counted(rows: DataFrame, values: DataFrame, keys: list[str], count: str
     return found.select(*keys, *mine, *[F.when(F.col("_hot").isNotNull(), F.col(f"_hot.{c}")).otherwise(F.col(f"_cold.{c}")).alias(c) for c in others])
 
 
+#: Rows of one range of a running sum; more rows make more ranges.
+RANGE_ROWS = 1 << 20
+
+
+def _sums_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    task, last, carry = TaskContext.get().partitionId(), None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column("_key").to_numpy(zero_copy_only=False)
+        values = batch.column("_value").to_numpy()
+        first = np.append(keys[0] != last, keys[1:] != keys[:-1]).astype(bool)
+        before = np.cumsum(values) - values
+        start = np.maximum.accumulate(np.where(first, np.arange(len(keys)), -1))
+        before = before - np.where(start >= 0, before[start], -carry)
+        last, carry = keys[-1], int(before[-1] + values[-1])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(keys), task, np.int32)), pa.array(before)], [*batch.schema.names, "_part", "_before"])
+
+
+def running_sum(rows: DataFrame, key: Column, order: list[str], value: Column, name: str) -> DataFrame:
+    """``rows`` with the sum, in ``name``, of ``value`` over the rows before each one that have its ``key``.
+
+    Rows stand by ``order``, nulls first; those that tie in it must be alike
+    in ``value``. ``rows`` must be a written table, ``key`` not null and
+    ``value`` a long of at least 0. A key may hold any share of the rows:
+    rows are dealt by ranges of key, order and place, summed within a range,
+    and a range whose first key began in an earlier one gets what that key
+    had there. This is one row a range at most, so it goes through the driver.
+    """
+    spark = rows.sparkSession
+    keyed = rows.withColumn("_key", key).withColumn("_value", value).withColumn("_tie", F.monotonically_increasing_id())
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // RANGE_ROWS))
+    by = ["_key", *order, "_tie"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema) + ", _part int, _before long"
+    summed = materialize(keyed.repartitionByRange(ranges, *by).sortWithinPartitions(*by).mapInArrow(_sums_within, schema), "sums")
+    ends = summed.groupBy("_part").agg(F.min("_key").alias("first"), F.max(F.struct("_key", (F.col("_before") + F.col("_value")).alias("upto"))).alias("last"))
+    carried, open_key, had = [], None, 0
+    for r in sorted(ends.collect(), key=lambda r: r["_part"]):
+        if r["first"] == open_key:
+            carried.append((r["_part"], open_key, had))
+        had = r["last"]["upto"] + (had if r["last"]["_key"] == open_key else 0)
+        open_key = r["last"]["_key"]
+    earlier = spark.createDataFrame(carried, f"_part int, _key {summed.schema['_key'].dataType.simpleString()}, _had long")
+    whole = summed.join(F.broadcast(earlier), ["_part", "_key"], "left")
+    return whole.select(*rows.columns, (F.col("_before") + F.coalesce("_had", F.lit(0))).alias(name))
+
+
 def row_key(*columns: str) -> list[Column]:
     """Two 64-bit hashes of the columns, named ``_k1`` and ``_k2``: a key that is never null.
 

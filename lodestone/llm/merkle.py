@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._shared import materialize
+from lodestone.llm._shared import materialize, running_sum
 
 #: Levels above the leaves: each node covers 2 ** STEP nodes of the level below, by offset.
 LEAF_BITS = 16
@@ -29,17 +29,18 @@ def manifest(pages: DataFrame, archive_bytes: int = 1 << 24) -> DataFrame:
 
     Records go to archives by hash, enough of them to hold about
     ``archive_bytes`` each, and stand there in order of id and digest; offsets
-    are prefix sums of their lengths within an archive. Null ids are one id
-    (an archive of their own), null urls and bodies are empty, repeated rows
-    stand beside each other. Other columns are dropped, whatever their names.
+    are prefix sums of their lengths within an archive, by ranges, so an
+    archive may hold any share of the records. Null ids are one id (of one
+    archive), null urls and bodies are empty, repeated rows stand beside each
+    other. Other columns are dropped, whatever their names.
     An empty table has an empty manifest.
     """
     record = warc_record(F.col("url"), F.col("html"))
     sized = materialize(pages.select("page_id", F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("sha256")), "records")
     total = sized.agg(F.sum("length")).first()[0] or 0
     placed = sized.withColumn("archive", _bucket(F.col("page_id"), max(1, -(-total // archive_bytes))))
-    before = Window.partitionBy("archive").orderBy("page_id", "sha256").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).select("page_id", "archive", "offset", "length", "sha256")
+    laid = running_sum(placed, F.col("archive"), ["page_id", "sha256"], F.col("length"), "offset")
+    return laid.select("page_id", "archive", "offset", "length", "sha256")
 
 
 def tree(leaves: DataFrame, top: int) -> DataFrame:
@@ -73,9 +74,12 @@ def audit(expected: DataFrame, replica: DataFrame) -> DataFrame:
     Both are hashed into one tree an archive. Roots are compared first, and
     only below roots that differ are the next level's nodes compared, and so
     on down; records are looked at only in byte ranges whose node differs.
-    A record there is ``corrupt`` (another digest or length at its offset),
-    ``missing`` (not in the replica) or ``extra`` (only there); all others are
-    ``intact``, vouched for by a root or node above.
+    A record there is ``intact`` if the same length and digest stand at its
+    offset, ``moved`` if the archive has it at another one (a record before it
+    changed its length), ``corrupt`` if its id is there with another digest or
+    length, ``missing`` if it is not, or ``extra`` (only in the replica).
+    Repeated records and ids are paired one to one, by offset. All records
+    elsewhere are ``intact``, vouched for by a root or node above.
 
     Records without a url or html are records with empty parts. Null ids are
     one id. Repeated rows stand beside each other in the archive. If both
@@ -83,8 +87,8 @@ def audit(expected: DataFrame, replica: DataFrame) -> DataFrame:
     missing or extra. Columns besides the five of a manifest are not read.
 
     Returns page_id, archive, offset, length, sha256 (the expected ones, the
-    replica's for extra records), replica_sha256 (null unless it was looked
-    at) and state.
+    replica's for extra records), replica_sha256 (of the record that it was
+    paired with; null unless it was looked at) and state.
     """
     largest = expected.select("offset").unionByName(replica.select("offset")).agg(F.max("offset")).first()[0] or 0
     top = 0
@@ -112,14 +116,33 @@ def audit(expected: DataFrame, replica: DataFrame) -> DataFrame:
     ).drop("node")
     intact = mine.where("_suspect IS NULL").select("page_id", "archive", "offset", "length", "sha256", F.lit(None).cast("string").alias("replica_sha256"), F.lit("intact").alias("state"))
     both = mine.where("_suspect").join(looked, ["archive", "offset"], "full_outer")
-    state = (
-        F.when(F.col("sha256").isNull(), "extra")
-        .when(F.col("replica_sha256").isNull(), "missing")
-        .when((F.col("sha256") == F.col("replica_sha256")) & (F.col("length") == F.col("r_length")), "intact")
-        .otherwise("corrupt")
+    agree = F.col("sha256").eqNullSafe(F.col("replica_sha256")) & F.col("length").eqNullSafe(F.col("r_length"))
+    both = materialize(both.withColumn("_agree", agree), "looked")
+    same = both.where("_agree").select("page_id", "archive", "offset", "length", "sha256", "replica_sha256", F.lit("intact").alias("state"))
+    apart = both.where("NOT _agree")
+    lost = apart.where("sha256 IS NOT NULL").select(F.lit(0).alias("side"), "page_id", "archive", "offset", "length", "sha256")
+    strays = apart.where("replica_sha256 IS NOT NULL").select(F.lit(1).alias("side"), F.col("r_id").alias("page_id"), "archive", "offset", F.col("r_length").alias("length"), F.col("replica_sha256").alias("sha256"))
+    identity = [F.col("page_id").isNull().cast("string"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))]
+    moved, apart = _paired(materialize(lost.unionByName(strays), "apart"), [F.col("length").cast("string"), F.col("sha256"), *identity], "moved")
+    corrupt, apart = _paired(materialize(apart, "apart"), identity, "corrupt")
+    rest = apart.select(
+        "page_id", "archive", "offset", "length", "sha256",
+        F.when(F.col("side") == 1, F.col("sha256")).alias("replica_sha256"), F.when(F.col("side") == 1, "extra").otherwise("missing").alias("state"),
     )
-    seen = both.select(
-        F.when(F.col("sha256").isNull(), F.col("r_id")).otherwise(F.col("page_id")).alias("page_id"),
-        "archive", "offset", F.coalesce("length", "r_length").alias("length"), F.coalesce("sha256", "replica_sha256").alias("sha256"), "replica_sha256", state.alias("state"),
-    )
-    return intact.unionByName(seen)
+    return intact.unionByName(same).unionByName(moved).unionByName(corrupt).unionByName(rest)
+
+
+def _paired(records: DataFrame, parts: list[Column], state: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs of an expected record (side 0) and one of the replica (side 1), and the records that are in none.
+
+    A pair is of one archive and agrees in ``parts``; of several, the n-th by
+    offset of one side goes with the n-th of the other, so a key that many
+    records share is spread over its numbers.
+    """
+    key = F.concat_ws(":", F.col("archive").cast("string"), *parts)
+    numbered = running_sum(records, F.concat_ws(":", F.col("side").cast("string"), key), ["offset"], F.lit(1).cast("long"), "nth").withColumn("key", key)
+    mine, theirs = (numbered.where(F.col("side") == k).select("key", "nth", F.struct(*records.columns).alias(f"r{k}")) for k in (0, 1))
+    met = materialize(mine.join(theirs, ["key", "nth"], "full_outer"), "pairs")
+    whole = F.col("r0").isNotNull() & F.col("r1").isNotNull()
+    pairs = met.where(whole).select(*[f"r0.{c}" for c in ("page_id", "archive", "offset", "length", "sha256")], F.col("r1.sha256").alias("replica_sha256"), F.lit(state).alias("state"))
+    return pairs, met.where(~whole).select(F.coalesce("r0", "r1").alias("r")).select("r.*")

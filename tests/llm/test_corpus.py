@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import ann, language_id, merkle, mixing, packing, secrets, sharding
+from lodestone.llm._shared import materialize, running_sum
 from lodestone.llm.queries import vocabulary
 from lodestone.llm.wordbpe import encoder
 
@@ -195,6 +196,38 @@ def test_fixity(spark):
     assert {r.state for r in merkle.audit(whole, empty).collect()} == {"missing"}
 
 
+def test_records_behind_one_of_another_length_have_moved(spark):
+    rows = [(k, f"http://h/{k}", f"<p>{k}</p>" * (1 + k % 90)) for k in range(600)] + [(None, "http://h/n", "<p>copy</p>" * 400)] * 50
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    longer = pages.withColumn("html", F.when(F.col("page_id").isin(10, 200), F.concat("html", F.lit("more"))).otherwise(F.col("html")))
+    whole = merkle.manifest(pages, archive_bytes=1 << 30)
+    replica = merkle.manifest(longer.where("NOT page_id <=> 300"), archive_bytes=1 << 30)
+    got = merkle.audit(whole, replica).collect()
+    states = {k: {r.page_id for r in got if r.state == k} for k in ("corrupt", "missing", "extra")}
+    assert states == {"corrupt": {10, 200}, "missing": {300}, "extra": set()}
+    mine, theirs = ({r.page_id: (r.offset, r.sha256) for r in m.collect()} for m in (whole, replica))
+    assert {r.page_id for r in got if r.state == "moved"} == {k for k in range(600) if k != 300 and mine[k][0] != theirs[k][0] and mine[k][1] == theirs[k][1]}
+    assert Counter(r.state for r in got if r.page_id is None) == {"intact": 50}
+    fewer = merkle.audit(whole, whole.orderBy("offset").limit(640 - 30)).collect()
+    assert Counter(r.state for r in fewer) == {"intact": 610, "missing": 40}
+    later = whole.withColumn("offset", F.col("offset") + 7)
+    assert Counter(r.state for r in merkle.audit(whole, later).collect()) == {"moved": 650}
+
+
+def test_running_sums_of_a_hot_key_equal_a_plain_loop(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "a", "a", "b", "", "c" * 40]), rng.choice([None, 1, 2, 3]), 0) for _ in range(3000)]
+    rows = [(k, o, 0 if o is None else o * 7 + len(k)) for k, o, _ in rows]
+    table = materialize(spark.createDataFrame(rows, "k string, o long, v long").repartition(5), "rows")
+    got = running_sum(table, F.col("k"), ["o"], F.col("v"), "before").collect()
+    want, upto = [], Counter()
+    for k, o, v in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0)):
+        want.append((k, o, v, upto[k]))
+        upto[k] += v
+    assert Counter(map(tuple, got)) == Counter(want)
+    assert running_sum(table.limit(0), F.col("k"), ["o"], F.col("v"), "before").collect() == []
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(1500, 12)) * rng.uniform(0.5, 2, size=(1500, 1))
