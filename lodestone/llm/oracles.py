@@ -45,3 +45,33 @@ judged AS (SELECT *, CASE WHEN page_id % 211 = 3 THEN 'missing' WHEN sha256 <> o
 ranges AS (SELECT DISTINCT archive, "offset" // 65536 AS node FROM judged WHERE state <> 'intact')
 SELECT j.page_id, j.archive, j."offset", j.length, j.sha256, CASE WHEN r.node IS NOT NULL AND j.state <> 'missing' THEN j.other END AS replica_sha256, j.state
 FROM judged j LEFT JOIN ranges r ON r.archive = j.archive AND r.node = j."offset" // 65536"""
+
+# case is folded for ASCII only, and one length in code points; look-arounds are the tails of whole runs
+OP6 = r"""
+WITH texts AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+patterns(kind, place, folded, p) AS (VALUES
+  ('assign', 0, true, '(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[a-z0-9+/_.=-]+'),
+  ('access', 1, false, 'AKIA[A-Z0-9]+'),
+  ('hex', 2, false, '[0-9a-f]+'),
+  ('linked_secret', 3, false, '[A-Za-z0-9+/_=-]+'),
+  ('linked_id', 4, true, '(?:client_?id|access_?key_?id|account|user_?name|user|login)["'']?\x20*[:=]\x20*["'']?[a-z0-9_@.+-]{3,}'),
+  ('linked_endpoint', 5, true, '\b(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D"''<>]+')),
+found AS (SELECT row, kind, place, regexp_extract_all(CASE WHEN folded THEN low ELSE t END, p) AS m, regexp_split_to_array(CASE WHEN folded THEN low ELSE t END, p) AS gaps, t FROM texts, patterns),
+parts AS (SELECT row, kind, place, t, unnest(m) AS match, unnest(gaps[1:len(m)]) AS gap, generate_subscripts(m, 1) AS i FROM found WHERE len(m) > 0),
+placed AS (SELECT row, kind, place, substr(t, stop - length(match) + 1, length(match)) AS match, stop - length(match) AS start, stop FROM
+  (SELECT *, sum(length(gap) + length(match)) OVER (PARTITION BY row, kind ORDER BY i)::BIGINT AS stop FROM parts)),
+tails AS (SELECT * REPLACE (CASE WHEN kind = 'linked_secret' THEN regexp_extract(match, '(?:^|=)([A-Za-z0-9+/_-]{32,}={0,2})$', 1) ELSE match END AS match) FROM placed),
+spans AS (SELECT row, kind, place, stop - length(match) AS start, stop FROM tails WHERE CASE kind
+  WHEN 'assign' THEN length(regexp_extract(match, '[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 6
+  WHEN 'access' THEN length(match) >= 20 WHEN 'hex' THEN length(match) >= 24
+  WHEN 'linked_secret' THEN match SIMILAR TO '.*[A-Z].*' AND match SIMILAR TO '.*[a-z].*' AND match SIMILAR TO '.*[0-9].*' ELSE true END),
+base AS (SELECT * FROM spans WHERE place < 3),
+weak AS (SELECT * FROM spans w WHERE place >= 3 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.row = w.row AND b.start < w.stop AND w.start < b.stop)),
+sides AS (SELECT *, kind IN ('assign', 'hex', 'linked_secret') AS secret FROM (SELECT * FROM base UNION ALL SELECT * FROM weak)),
+linked AS (SELECT * FROM weak w WHERE EXISTS (SELECT 1 FROM sides s WHERE s.row = w.row AND s.secret <> (w.kind = 'linked_secret') AND s.start - w.stop <= 256 AND w.start - s.stop <= 256)),
+reported AS (SELECT row, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access, count(*) FILTER (place = 2) AS n_hex,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place, stop) FILTER (place < 3) AS bases,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place, stop) AS spans, count(*) FILTER (place >= 3) AS n_linked
+  FROM (SELECT * FROM base UNION ALL SELECT * FROM linked) GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(bases, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_linked, 0) AS n_linked
+FROM texts LEFT JOIN reported USING (row)"""

@@ -89,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Those that SQL can express; the others are held against brute force in the tests."""
-    return {"op3_line_dedup": oracles.OP3, "op5_minhash": oracles.OP5, "op7_merkle": oracles.OP7}
+    return {"op3_line_dedup": oracles.OP3, "op5_minhash": oracles.OP5, "op6_secrets": oracles.OP6, "op7_merkle": oracles.OP7}

@@ -12,13 +12,15 @@ import time
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestone.llm import language_id, linededup, minhash, mixing, packing, secrets, sharding, spotsigs
+from lodestone.llm import language_id, linededup, minhash, mixing, oracles, packing, secrets, sharding, spotsigs
 from lodestone.llm._shared import HOT_KEYS, join_counted, materialize
 from lodestone.llm.queries import vocabulary
 from lodestone.llm.textarrays import span_hashes
@@ -212,6 +214,23 @@ def test_links_equal_brute_force(spark):
         assert set(got[k].spans.split(",")) - {""} == want, text
 
 
+def test_secrets_equal_their_sql(spark):
+    """Over random texts with parts at all distances, other scripts, tabs and line ends between them."""
+    rng = random.Random(31)
+    pieces = ["user=alice1", "LOGIN: bob77", "Ab1xY9" * 7, "Ab1xY9" * 7 + "==", "Ab1xY9" * 7 + "===", "x=" + "Zz9_" * 9, "Password = 'topsecret1'", "token:abc", "AKIA" + "Q" * 16, "AKIAQ", "0af9" * 8,
+              "https://h.example/p", "xftp://h", "api_key=" + "Zz9" * 12, "\u00e9\U0001f600", "account_name"]
+    texts = ["".join(rng.choice(pieces) + rng.choice([" ", "\n", "\t", "\r\n", "", "\x0b"]) + ". " * rng.randint(0, 150) for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    docs = pd.DataFrame({"doc_id": range(len(texts) + 1), "text": [*texts, None]})
+    got = secrets.scan(spark.createDataFrame(list(docs.itertuples(index=False, name=None)), "doc_id long, text string"), scope=256)
+    con = duckdb.connect()
+    con.register("documents", docs)
+    want = con.sql(oracles.OP6).df()
+    names = sorted(want.columns)
+    assert sorted(got.columns) == names
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(want[names].itertuples(index=False, name=None))
+    assert (want["n_linked"] > 1).sum() > 50
+
+
 def test_many_matches_take_about_linear_time(spark):
     seconds = []
     for n in (4000, 64000):
