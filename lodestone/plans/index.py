@@ -35,7 +35,8 @@ _CHUNKS = (
     "path string, chunk_index int, start_offset int, end_offset int, start_line int, end_line int, text string, session_id string, cwd string, role string, "
     "turn_id string, timestamp string, session_path string, line_no int, embedding array<float>, chunk_id long, file_id long"
 )
-_SESSION = {"session_id": "string", "cwd": "string", "role": "string", "turn_id": "string", "timestamp": "string", "session_path": "string", "line_no": "int"}
+SESSION = {"session_id": "string", "cwd": "string", "role": "string", "turn_id": "string", "timestamp": "string", "session_path": "string", "line_no": "int"}
+CHUNK_COLUMNS = [c.split()[0] for c in _CHUNKS.split(", ")]
 Progress = Callable[[str, int], None]
 
 
@@ -201,11 +202,11 @@ def _write(index: Index, metadata: dict[str, str], states: DataFrame, fresh: Dat
     # the listing is as long as the run's files, so the join shuffles if it is long
     placed = fresh.join(ids, "path").withColumn("chunk_id", F.shiftleft("file_id", PLACE_BITS) + F.col("chunk_index"))
     made = embed(placed, model)
-    for name, kind in _SESSION.items():
+    for name, kind in SESSION.items():
         if name not in made.columns:
             made = made.withColumn(name, F.lit(None).cast(kind))
     files = states.select(*catalog.STATE).join(ids, "path")
-    index.commit(files, made.select(*[c.split()[0] for c in _CHUNKS.split(", ")]), gone, metadata, alone, taken)
+    index.commit(files, made.select(*CHUNK_COLUMNS), gone, metadata, alone, taken)
     rows = index.spark.read.schema(_CHUNKS).parquet(index.store.at(f"segment-{index.version}", "chunks"))
     return rows.count()
 

@@ -13,6 +13,7 @@ from lodestone.operators import catalog, fts, vector
 from lodestone.operators.chunking import chunk_documents, window_chunks
 from lodestone.plans import lookup
 from lodestone.plans import search as plan
+from lodestone.plans.index import CHUNK_COLUMNS, PLACE_BITS, SESSION, Index
 from lodestone.plans.lookup import POSTING, TextIndex, write_postings
 from lodestone.plans.store import Store, index_folder
 from lodestone.sources import files as file_source
@@ -233,6 +234,35 @@ def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.changed_files(files, _previous(files)).select("path", "content_hash")
 
 
+def changed_by_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose size, time or place differ from the index, or that it lacks; no content is read."""
+    files = _files(spark, sf_dir)
+    touched = F.when(F.col("doc_id") % 13 == 4, F.col("mtime_ns") - 1).otherwise(F.col("mtime_ns"))
+    old = _previous(files).withColumn("mtime_ns", touched)
+    state = tuple(c for c in catalog.STATE if c != "content_hash")
+    return catalog.changed_files(files, old, state).select("path", "size", "mtime_ns")
+
+
+def index_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that count in an index of two segments: the second has other texts for some files and names others as gone."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    files = _files(spark, sf_dir)
+    taken = (docs.agg(F.max("doc_id")).first()[0] or 0) + 1
+    index = Index(spark, index_folder(spark))
+
+    def add(some: DataFrame, shift: int, gone: DataFrame, fresh: bool) -> None:
+        named = some.join(files.select("doc_id", "path"), "doc_id").withColumn("file_id", F.col("doc_id") + shift)
+        cut = window_chunks(named, ["path", "file_id"]).withColumn("chunk_id", F.shiftleft("file_id", PLACE_BITS) + F.col("chunk_index"))
+        cut = cut.withColumns({name: F.lit(None).cast(kind) for name, kind in {**SESSION, "embedding": "array<float>"}.items()})
+        states = files.join(some.select("doc_id"), "doc_id", "left_semi").withColumn("file_id", F.col("doc_id") + shift)
+        index.commit(states, cut.select(*CHUNK_COLUMNS), gone, {}, fresh, taken + shift)
+
+    add(docs, 0, docs.select(F.col("doc_id").alias("file_id")).limit(0), True)
+    renewed = docs.where("doc_id % 7 = 2 AND doc_id % 5 != 1").withColumn("text", F.concat(F.lit("New "), "text"))
+    add(renewed, taken, docs.where("doc_id % 7 = 2 OR doc_id % 5 = 1").select(F.col("doc_id").alias("file_id")), False)
+    return index.chunks.select("path", "chunk_index", "start_offset", "end_offset", "text")
+
+
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _files(spark, sf_dir)
     return catalog.index_stats(files, _previous(files), _file_chunks(spark, sf_dir))
@@ -427,6 +457,10 @@ LEFT JOIN chunks c ON c.doc_id = f.doc_id GROUP BY root_path""",
         "index_info": f"WITH {_CHUNKS}, {_FILES} SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM chunks) AS chunks",
         "remove_missing": f"WITH {_FILES} SELECT path FROM previous WHERE path NOT IN (SELECT path FROM files)",
         "changed_files": f"WITH {_FILES}, {_CHANGED} SELECT path, content_hash FROM changed",
+        "changed_by_stat": f"""WITH {_FILES} SELECT path, size, mtime_ns FROM files f WHERE NOT EXISTS (SELECT 1 FROM previous p WHERE p.path = f.path AND p.root_path = f.root_path
+  AND p.relative_path = f.relative_path AND p.size = f.size AND p.mtime_ns - CASE WHEN f.doc_id % 13 = 4 THEN 1 ELSE 0 END = f.mtime_ns)""",
+        "index_segments": f"""WITH current AS (SELECT * REPLACE (CASE WHEN doc_id % 7 = 2 THEN 'New ' || text ELSE text END AS text) FROM documents WHERE doc_id % 5 <> 1),
+{_CHUNKS.replace("FROM documents", "FROM current")}, {_FILES} SELECT path, chunk_index, start_offset, end_offset, text FROM chunks JOIN files USING (doc_id)""",
         "index_stats": f"""WITH {_CHUNKS}, {_FILES}, {_CHANGED} SELECT (SELECT count(*) FROM files) AS scanned, (SELECT count(*) FROM changed) AS indexed,
   (SELECT count(*) FROM previous WHERE path NOT IN (SELECT path FROM files)) AS removed,
   (SELECT count(*) FROM chunks c JOIN files f ON f.doc_id = c.doc_id JOIN changed g ON g.path = f.path) AS chunks,
@@ -498,7 +532,7 @@ def queries() -> dict[str, Query]:
     plain = [
         chunk_long_paragraph, chunk_line_numbers, chunk_paragraph_pack, chunk_markdown, trigram_postings, trigram_df, corpus_stats, fts_literal_topk, fts_scan_topk,
         like_fallback_topk, vec_knn_topk, vec_score, vector_normalize, vector_nonfinite_guard, multi_index_merge, files_list, roots_summary, index_info,
-        remove_missing, changed_files, index_stats, metadata_upsert, content_hash, ext_filter_exclude, session_turns, session_chunks, snippet, prefix_passage,
+        remove_missing, changed_files, changed_by_stat, index_segments, index_stats, metadata_upsert, content_hash, ext_filter_exclude, session_turns, session_chunks, snippet, prefix_passage,
         bench_summary,
     ]
     found: dict[str, Query] = {f.__name__: f for f in plain}
