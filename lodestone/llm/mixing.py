@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm._shared import HOT_KEYS, materialize, row_key
+from lodestone.llm._shared import HOT_KEYS, materialize, row_key, running_sum
 
 #: Documents of one size that are ranked in one task.
 _BUCKET = 1024
@@ -111,6 +111,22 @@ def _round_cells(cap: int):
     return run
 
 
+_KEY = ["_k1", "_k2"]
+
+
+def _numbered(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """Those of the rows whose key is among the few ``keys``, with the number of rows of the key before each one in ``_row``."""
+    mine = materialize(rows.join(F.broadcast(keys.select(*_KEY)), _KEY, "left_semi"), name)
+    return running_sum(mine, F.concat_ws(":", *[F.col(k).cast("string") for k in _KEY]), [], F.lit(1).cast("long"), "_row")
+
+
+def _most_often(counted: DataFrame, count: str) -> DataFrame | None:
+    """Rows of the written ``counted`` whose ``count`` is too much for one task, fewer than HOT_KEYS of them; None if there are none."""
+    seen = counted.agg(F.sum(count).alias("total"), F.max(count).alias("most")).first()
+    limit = max(_BUCKET, (seen["total"] or 0) // HOT_KEYS)
+    return counted.where(F.col(count) > limit) if (seen["most"] or 0) > limit else None
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, with_keys: bool = False) -> DataFrame:
     """Give every document a number of copies so that its source's words come near its target.
 
@@ -138,6 +154,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     Returns doc_id, source, size, source_size, target, rate, copies and taken.
     """
     sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *row_key("doc_id", "text")), "sizes")
+    repeats = _most_often(materialize(sized.groupBy(*_KEY).agg(F.count("*").alias("n")).where(F.col("n") > _BUCKET), "repeats"), "n")
+    if repeats is None:
+        sized = sized.withColumn("_row", F.lit(0).cast("long"))
+    else:
+        others = sized.join(F.broadcast(repeats.select(*_KEY)), _KEY, "left_anti").withColumn("_row", F.lit(0).cast("long"))
+        sized = materialize(others.unionByName(_numbered(sized, repeats, "repeated")), "numbered")
     cells = materialize(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
     totals = {r["source"]: r for r in cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("size"), F.sum("n").alias("n")).collect()}
     sizes = {s: r["size"] for s, r in totals.items()}
@@ -157,7 +179,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     often = F.col("cell_n") > sum(t["n"] for t in totals.values()) // HOT_KEYS
     hot = F.broadcast(mine.where(often))
     placed = sized.join(hot, same).unionByName(sized.join(F.broadcast(mine.where(often).select("s2", "size2")), same, "left_anti").join(mine.where(~often), same))
-    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("_k1", F.lit("bucket")), F.col("buckets")))
+    # equal rows have one hash; if there are very many, their numbers deal them over the buckets
+    hashed = F.when(F.col("_row") == 0, F.xxhash64("_k1", F.lit("bucket"))).otherwise(F.xxhash64("_k1", F.lit("bucket"), "_row"))
+    placed = placed.withColumn("bucket", F.pmod(hashed, F.col("buckets")))
     by_size = ["source", "size"]
     per = placed.groupBy(*by_size, "bucket").agg(F.count("*").alias("m"), F.any_value("cell_n").alias("cell_n"), F.any_value("cell_copies").alias("cell_copies"))
     upto = F.sum("m").over(Window.partitionBy(*by_size).orderBy("bucket"))
@@ -185,10 +209,15 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
     _copies, _rows, _row or _copy are dropped. An empty table stays empty.
     """
     docs = docs.drop("_k1", "_k2", "_copies", "_rows", "_row", "_copy")
-    dealt = mix(docs, weights, share, cap, with_keys=True).groupBy("_k1", "_k2").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    dealt = materialize(mix(docs, weights, share, cap, with_keys=True).groupBy(*_KEY).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")), "dealt")
     keyed = docs.select("*", *row_key("doc_id", "text"))
-    # equal rows share their copies evenly; the window and the join need one shuffle
-    each = keyed.withColumn("_row", F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("_k1"))).join(dealt, ["_k1", "_k2"])
+    hot = _most_often(dealt, "_rows")
+    few = keyed if hot is None else keyed.join(F.broadcast(hot.select(*_KEY)), _KEY, "left_anti")
+    # equal rows share their copies evenly
+    each = few.withColumn("_row", F.row_number().over(Window.partitionBy(*_KEY).orderBy("_k1"))).join(dealt, _KEY)
+    if hot is not None:
+        many = _numbered(keyed, hot, "repeated-rows").withColumn("_row", F.col("_row") + 1)
+        each = each.unionByName(many.join(F.broadcast(hot), _KEY))
     base = F.floor(F.col("_copies") / F.col("_rows"))
     copies = (base + (F.col("_row") <= F.col("_copies") - base * F.col("_rows")).cast("long")).cast("int")
     return each.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)

@@ -114,6 +114,29 @@ def test_rates_are_the_optimum(spark):
             assert max(copies) - min(copies) <= 1
 
 
+def test_a_row_that_a_third_of_all_rows_are_is_mixed_in_parts(spark, monkeypatch):
+    """Its copies are as many as those of unlike rows of its size would be, in whatever order the rows come."""
+    monkeypatch.setattr(mixing, "_BUCKET", 16)
+    rows = [(None, "one two three", "s", k) for k in range(400)] + [(k, f"w{k} " * (1 + k % 9), "s" if k % 2 else None, k) for k in range(800)]
+    schema = "doc_id long, text string, source string, extra int"
+    got = []
+    for order in (1, -1):
+        docs = spark.createDataFrame(rows[::order], schema).repartition(5 + order)
+        planned = mixing.mix(docs).collect()
+        assert len(planned) == len(rows)
+        same = [r for r in planned if r.doc_id is None]
+        goal = {r.source: r.target for r in planned}
+        for source, target in goal.items():
+            assert abs(sum(r.taken for r in planned if r.source == source) - target) <= 9
+        out = mixing.mixed(docs).collect()
+        assert len(out) == sum(r.copies for r in planned)
+        copies = Counter(r.extra for r in out if r.doc_id is None)
+        wanted = sum(r.copies for r in same)
+        assert sum(copies.values()) == wanted and set(copies.values()) <= {wanted // 400, wanted // 400 + 1}
+        got.append((sorted((r.doc_id, r.copies) for r in planned if r.doc_id is not None), wanted))
+    assert got[0] == got[1]
+
+
 def test_few_sizes_far_apart_still_meet_the_target(spark):
     rng = random.Random(2)
     rows = [(k, "w " * rng.choice([1, 3, 40, 4100, 9000, 30000]), "a" if k % 2 else "b") for k in range(300)]
