@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._shared import materialize, row_key
+from lodestone.llm._shared import join_counted, materialize, row_key
 from lodestone.llm.textarrays import distinct, mix, slices, text_bytes, words
 
 U64 = np.uint64
@@ -270,7 +270,9 @@ def near_pairs(prints: DataFrame, least: float = 0.5) -> DataFrame:
     sets = materialize(sets.withColumn("n", (F.length("print") / 8).cast("int")), "sets")
     copies = rows.select(*key, "doc_id").distinct().join(sets.select(*key, "least_id"), key).where("doc_id != least_id")
     spots = sets.select(*key, "n", F.explode(F.regexp_extract_all("print", F.lit(".{8}"), F.lit(0))).alias("spot"))
-    ranked = spots.join(spots.groupBy("spot").agg(F.count("*").alias("often")), "spot")
+    # a spot that very many sets have is not one task's
+    counts = materialize(spots.groupBy("spot").agg(F.count("*").alias("often")).withColumn("rows", F.col("often")), "spot-counts")
+    ranked = join_counted(spots, counts, ["spot"], "rows")
     ranked = ranked.groupBy(*key, "n").agg(F.array_sort(F.collect_list(F.struct("often", "spot"))).alias("ranked"))
     first = F.slice("ranked", F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-6).cast("int") + 1)
     bounds = F.array(*map(F.lit, _length_bounds(least)))
