@@ -27,7 +27,7 @@ def search_indexes(
 ) -> list[dict]:
     """Top rows of all indexes as dictionaries; the query is embedded once."""
     asked = resolve(query, pattern, mode)
-    indexes = {path: Index.open(spark, path) for path in sorted(set(paths))}
+    indexes = {path: Index.open(spark, path) for path in catalog.normalized_paths(paths)}
     if sessions_only:
         for index in indexes.values():
             check_session_index(index.metadata)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,9 +79,14 @@ def check_compatible(metadata: list[dict[str, str]]) -> None:
             raise ValueError(f"indexes differ in {key}: {sorted(values)}")
 
 
+def normalized_paths(paths: list[str]) -> list[str]:
+    """Index paths in order, each once: local ones are expanded and resolved, those of a named file system stay as they are."""
+    return sorted({p if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", p) else os.path.realpath(os.path.expanduser(p)) for p in paths})
+
+
 def set_hash(paths: list[str]) -> str:
-    """A short name of a set of indexes."""
-    return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()[:24]
+    """A short name of a set of indexes, however their paths are written."""
+    return hashlib.sha256("\n".join(normalized_paths(paths)).encode()).hexdigest()[:24]
 
 
 def as_json(rows: list[dict] | dict) -> str:

@@ -38,11 +38,14 @@ class Service:
     model: Embedder | None = None
     _open: dict[str, Index] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        self.paths = catalog.normalized_paths(self.paths)
+
     def health(self) -> dict:
-        return {"status": "ok", "db_paths": sorted(self.paths), "set": catalog.set_hash(self.paths), "model": self.model.config.model if self.model else None}
+        return {"status": "ok", "db_paths": self.paths, "set": catalog.set_hash(self.paths), "model": self.model.config.model if self.model else None}
 
     def _indexes(self, wanted: list[str] | None) -> dict[str, Index]:
-        chosen = sorted(set(wanted or self.paths))
+        chosen = catalog.normalized_paths(wanted) if wanted else self.paths
         if strange := [p for p in chosen if p not in self.paths]:
             raise ValueError(f"not served: {strange}")
         for path in chosen:

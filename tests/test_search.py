@@ -219,3 +219,13 @@ def test_compatibility():
     for other in (dict(one, embedding_dim="3"), dict(one, embedding_model="")):
         with pytest.raises(ValueError):
             catalog.check_compatible([one, other])
+
+
+def test_paths_of_indexes(tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setenv("HOME", str(tmp_path / "home"))
+    (tmp_path / "link").symlink_to(tmp_path / "real")
+    real = str((tmp_path / "real").resolve())
+    paths = ["s3a://store/b/../idx", "link", "real", "./real/", "~/idx"]
+    assert catalog.normalized_paths(paths) == sorted(["s3a://store/b/../idx", real, str(tmp_path.resolve() / "home/idx")])
+    assert catalog.set_hash(["link", "real"]) == catalog.set_hash([real])
