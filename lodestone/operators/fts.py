@@ -3,7 +3,8 @@
 Over bare chunks, statistics of a query's phrases come from one scan and are
 a handful of numbers; a second scan scores. Nothing is shuffled but the top
 rows. A search of an index reads its posting table instead (``lookup``),
-and texts only of chunks that have all trigrams of a longer phrase.
+and texts only for phrases that are longer than a trigram. Both count phrases
+as arrays, one number a text, and judge and rank these by the same functions.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.arrays import let
-from lodestone.functions.text import contains_ascii, fold
+from lodestone.functions.text import contains_ascii
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 MAX_TERMS = 128
@@ -56,10 +55,6 @@ class Phrase:
     text: str
     anchored: bool = False
 
-    def match(self, text: Column) -> Column:
-        needle = F.lit(self.text)
-        return F.startswith(text, needle) if self.anchored else F.contains(text, needle)
-
     @property
     def grams(self) -> list[str]:
         return [self.text[i : i + 3] for i in range(len(self.text) - 2)]
@@ -68,14 +63,21 @@ class Phrase:
     def is_gram(self) -> bool:
         return len(self.text) == 3 and not self.anchored
 
-    def count(self, text: Column) -> Column:
+    def count(self, text: str) -> int:
         """Overlapping occurrences."""
         if self.anchored:
-            return F.startswith(text, F.lit(self.text)).cast("double")
-        if not any(self.text[:n] == self.text[-n:] for n in range(1, len(self.text))):
-            gone = F.length(F.replace(text, F.lit(self.text), F.lit("")))
-            return (F.length(text) - gone).cast("double") / len(self.text)
-        return F.regexp_count(text, F.lit("(?=" + re.sub(r"([^\w\s])", r"\\\1", self.text) + ")")).cast("double")
+            return int(text.startswith(self.text))
+        if any(self.text[:n] == self.text[-n:] for n in range(1, len(self.text))):
+            return len(places(text, self.text))
+        return text.count(self.text)
+
+
+def places(text: str, phrase: str) -> list[int]:
+    out, at = [], text.find(phrase)
+    while at >= 0:
+        out.append(at)
+        at = text.find(phrase, at + 1)
+    return out
 
 
 @dataclass
@@ -83,49 +85,23 @@ class Near:
     phrases: list[Phrase]
     distance: int
 
-    def counts(self, text: Column) -> Column:
+    def counts(self, text: str) -> list[int]:
         """For each phrase how many of its instances stand in a group that is near enough.
 
         A group has an instance of every phrase; with the last begin among
         them at L, each one ends, in trigram positions, at most ``distance``
-        before L. This needs all places of all phrases at once, which nested
-        column functions would find anew for every place.
+        before L.
         """
-        return near_counter(tuple(p.text for p in self.phrases), self.distance)(text)
-
-    def match(self, text: Column) -> Column:
-        all_there = F.lit(True)
-        for phrase in self.phrases:
-            all_there = all_there & phrase.match(text)
-        return all_there & (self.counts(text)[0] > 0)
-
-
-@lru_cache(maxsize=256)
-def near_counter(phrases: tuple[str, ...], distance: int):
-    def places(text: str, phrase: str) -> list[int]:
-        out, at = [], text.find(phrase)
-        while at >= 0:
-            out.append(at)
-            at = text.find(phrase, at + 1)
-        return out
-
-    def count(text: str) -> list[int]:
-        found = [places(text, p) for p in phrases]
-        reach = [len(p) - 2 + distance for p in phrases]
-        part: list[set[int]] = [set() for _ in phrases]
-        for last in {x for f in found for x in f}:
+        found = [places(text, p.text) for p in self.phrases]
+        reach = [len(p.text) - 2 + self.distance for p in self.phrases]
+        part: list[set[int]] = [set() for _ in self.phrases]
+        for last in {x for f in found for x in f} if all(found) else ():
             spans = [f[bisect.bisect_left(f, last - r) : bisect.bisect_right(f, last)] for f, r in zip(found, reach, strict=True)]
             if all(spans):
                 for mine, span in zip(part, spans, strict=True):
                     mine.update(span)
         return [len(p) for p in part]
 
-    @F.pandas_udf("array<int>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: count(t) if t is not None else [0] * len(phrases))
-
-    return run
-
 
 @dataclass
 class Both:
@@ -296,41 +272,64 @@ def parse(pattern: str):
     return _Parser(pattern).whole()
 
 
-def matches(tree, text: Column) -> Column:
-    """Whether a folded text matches."""
+class Seen:
+    """Counts of phrases in folded texts, one number a text; each phrase is counted once."""
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        self.size = len(texts)
+        self._known: dict = {}
+
+    def count(self, phrase: Phrase) -> np.ndarray:
+        key = (phrase.text, phrase.anchored)
+        if key not in self._known:
+            self._known[key] = np.fromiter(map(phrase.count, self.texts), float, self.size)
+        return self._known[key]
+
+    def near(self, tree: Near) -> np.ndarray:
+        """A row a text, a column a phrase."""
+        if id(tree) not in self._known:
+            self._known[id(tree)] = np.array([tree.counts(t) for t in self.texts], float).reshape(self.size, len(tree.phrases))
+        return self._known[id(tree)]
+
+
+def matches(tree, seen: Seen) -> np.ndarray:
+    """Which texts match."""
     if tree is NOTHING:
-        return F.lit(False)
-    if isinstance(tree, Both):
-        out = F.lit(True)
-        for part in tree.parts:
-            out = out & matches(part, text)
-        return out
-    if isinstance(tree, Either):
-        out = F.lit(False)
-        for part in tree.parts:
-            out = out | matches(part, text)
-        return out
+        return np.zeros(seen.size, bool)
+    if isinstance(tree, (Both, Either)):
+        join = np.logical_and if isinstance(tree, Both) else np.logical_or
+        return join.reduce([matches(part, seen) for part in tree.parts])
     if isinstance(tree, Without):
-        return matches(tree.left, text) & ~matches(tree.right, text)
-    return tree.match(text)
+        return matches(tree.left, seen) & ~matches(tree.right, seen)
+    return seen.near(tree)[:, 0] > 0 if isinstance(tree, Near) else seen.count(tree) > 0
 
 
-def scored_phrases(tree, text: Column, gate: Column | None = None) -> list[tuple[Phrase, Column]]:
-    """Each phrase that can score with its count, which is 0 where the part it belongs to does not match."""
+def scored_phrases(tree) -> list[Phrase]:
+    """Each phrase that can score, once for each time it is asked for."""
+    if tree is NOTHING:
+        return []
+    if isinstance(tree, (Both, Either)):
+        return [phrase for part in tree.parts for phrase in scored_phrases(part)]
+    if isinstance(tree, Without):
+        return scored_phrases(tree.left)
+    return tree.phrases if isinstance(tree, Near) else [tree]
+
+
+def scored_counts(tree, seen: Seen, gate: np.ndarray | bool = True) -> list[np.ndarray]:
+    """Counts of the scored phrases in their order, which are 0 where the part a phrase belongs to does not match."""
     if tree is NOTHING:
         return []
-    gate = F.lit(True) if gate is None else gate
-    if isinstance(tree, Both):
-        inner = gate & matches(tree, text)
-        return [found for part in tree.parts for found in scored_phrases(part, text, inner)]
     if isinstance(tree, Either):
-        return [found for part in tree.parts for found in scored_phrases(part, text, gate)]
+        return [found for part in tree.parts for found in scored_counts(part, seen, gate)]
+    if isinstance(tree, Both):
+        gate = gate & matches(tree, seen)
+        return [found for part in tree.parts for found in scored_counts(part, seen, gate)]
     if isinstance(tree, Without):
-        return scored_phrases(tree.left, text, gate & matches(tree, text))
+        return scored_counts(tree.left, seen, gate & matches(tree, seen))
     if isinstance(tree, Near):
-        counts = tree.counts(text)
-        return [(p, F.when(gate, counts[k].cast("double")).otherwise(0.0)) for k, p in enumerate(tree.phrases)]
-    return [(tree, F.when(gate & tree.match(text), tree.count(text)).otherwise(0.0))]
+        return [np.where(gate, found, 0.0) for found in seen.near(tree).T]
+    return [np.where(gate, seen.count(tree), 0.0)]
 
 
 # -- ranking ----------------------------------------------------------------------
@@ -345,33 +344,67 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").alias("n_chunks"), F.coalesce(F.sum(token_count(F.col("text"))), F.lit(0)).cast("long").alias("n_tokens"))
 
 
-def _gram_names(keys: np.ndarray) -> pa.Array:
-    """Texts of trigrams that are packed as three code points of 21 bits."""
-    codes = np.stack([keys >> np.uint64(42), keys >> np.uint64(21), keys], axis=1) & np.uint64((1 << 21) - 1)
-    return pa.array(["".join(map(chr, row)) for row in codes.tolist()], pa.string())
+def distinct_grams(texts: list[str], by_term: bool = False) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """The distinct trigrams of each folded text: text, number of the term, the terms, how often.
+
+    Ordered by text, or by term and then text. One sort of numbers that hold
+    text and trigram, which are made of the code points that occur.
+    """
+    lengths = np.array([len(t) for t in texts], np.int64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    none = np.zeros(0, np.int64)
+    if len(codes) < 3:
+        return none, none, [], none
+    there = np.zeros(int(codes.max()) + 1, bool)
+    there[codes] = True
+    letters = np.flatnonzero(there)
+    n, wide = len(texts), len(letters)
+    place = np.zeros(len(there), np.int64)
+    place[letters] = np.arange(wide)
+    codes = place[codes]
+    grams = (codes[:-2] * wide + codes[1:-1]) * wide + codes[2:]
+    row = np.repeat(np.arange(n), lengths)[: len(grams)]
+    inside = np.arange(len(grams)) + 2 < np.cumsum(lengths)[row]
+    grams, row = grams[inside], row[inside]
+    if not len(grams):
+        return none, none, [], none
+    names = None
+    if wide**3 * n >= 1 << 63:  # not with fewer than some 100,000 different letters
+        names, grams = np.unique(grams, return_inverse=True)
+    most = wide**3 if names is None else len(names)
+    keys = grams * n + row if by_term else row * most + grams
+    keys.sort()
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    tf = np.diff(np.append(first, len(keys)))
+    keys = keys[first]
+    grams, row = (keys // n, keys % n) if by_term else (keys % most, keys // most)
+    if by_term:
+        new = np.concatenate([[True], grams[1:] != grams[:-1]])
+        known, number = grams[new], np.cumsum(new) - 1
+    elif most <= 1 << 22:
+        table = np.zeros(most, np.int32)
+        table[grams] = 1
+        known = np.flatnonzero(table)
+        table[known] = np.arange(len(known))
+        number = table[grams]
+    else:
+        known, number = np.unique(grams, return_inverse=True)
+    known = known if names is None else names[known]
+    text = letters[np.stack([known // (wide * wide), known // wide % wide, known % wide], axis=1)].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    return row, number, [text[i : i + 3] for i in range(0, len(text), 3)], tf
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Trigram counts of all texts of a batch at once, in slices that bound the arrays."""
     for whole in batches:
-        for begin in range(0, len(whole), 2048):
-            batch = whole.slice(begin, 2048)
+        for begin in range(0, len(whole), 1024):
+            batch = whole.slice(begin, 1024)
             texts = [fold_text(t or "") for t in batch.column("text").to_pylist()]
-            lengths = np.array([len(t) for t in texts], np.int64)
-            codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-            if len(codes) < 3:
+            row, number, known, tf = distinct_grams(texts)
+            if not len(row):
                 continue
-            keys = (codes[:-2] << np.uint64(42)) | (codes[1:-1] << np.uint64(21)) | codes[2:]
-            row = np.repeat(np.arange(len(texts)), lengths)[: len(keys)]
-            inside = np.arange(len(keys)) + 2 < np.cumsum(lengths)[row]
-            keys, row = keys[inside], row[inside]
-            if not len(keys):
-                continue
-            known, number = np.unique(keys, return_inverse=True)
-            # (row, trigram) as one number; its distinct values come in order of the row
-            pair, tf = np.unique(row * len(known) + number, return_counts=True)
-            row, number = pair // len(known), pair % len(known)
-            terms = pa.DictionaryArray.from_arrays(pa.array(number.astype(np.int32)), _gram_names(known)).cast(pa.string())
+            terms = pa.DictionaryArray.from_arrays(pa.array(number.astype(np.int32)), pa.array(known, pa.string())).cast(pa.string())
+            lengths = np.array([len(t) for t in texts], np.int64)
             yield pa.RecordBatch.from_arrays(
                 [terms, batch.column("chunk_id").take(pa.array(row)), pa.array(tf.astype(np.int64)), pa.array(lengths[row] - 2)], ["term", "chunk_id", "tf", "tokens"]
             )
@@ -391,9 +424,34 @@ def idf_of(n: int, df: int) -> float:
     return idf if idf > 0 else LEAST_IDF
 
 
-def _has_near(tree) -> bool:
-    inner = getattr(tree, "parts", None) or [p for p in (getattr(tree, "left", None), getattr(tree, "right", None)) if p is not None]
-    return isinstance(tree, Near) or any(map(_has_near, inner))
+def statistics(chunks: DataFrame, phrases: list[Phrase]) -> dict:
+    """n, tokens and the number of chunks that have each phrase (n0, n1, ...), from one scan."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [0] * (2 + len(phrases))
+        for batch in batches:
+            texts = [t or "" for t in batch.column(0).to_pylist()]
+            seen = Seen([fold_text(t) for t in texts])
+            found = [len(texts), sum(max(0, len(t) - 2) for t in texts), *(int(np.count_nonzero(seen.count(p))) for p in phrases)]
+            sums = [a + b for a, b in zip(sums, found, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in sums], names)
+
+    names = ["n", "tokens", *(f"n{i}" for i in range(len(phrases)))]
+    counted = chunks.select("text").mapInArrow(count, ", ".join(f"{name} long" for name in names))
+    return counted.agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in names]).first().asDict()
+
+
+def ranks(tree, seen: Seen, tokens: np.ndarray, idfs: list[float], mean: float) -> np.ndarray:
+    """BM25 of texts with that many tokens, more negative is better; phrases are added up in their order."""
+    norm = K1 * (1 - B + B * tokens / mean)
+    rank = np.zeros(seen.size)
+    for idf, count in zip(idfs, scored_counts(tree, seen), strict=True):
+        rank = rank - idf * (count * (K1 + 1) / (count + norm))
+    return rank
+
+
+def mean_of(n: int, tokens: int) -> float:
+    return tokens / n if n and tokens else 1.0
 
 
 def scored(chunks: DataFrame, tree, stats: dict | None = None) -> DataFrame:
@@ -405,24 +463,20 @@ def scored(chunks: DataFrame, tree, stats: dict | None = None) -> DataFrame:
     """
     if tree is NOTHING:
         return chunks.withColumns({"_hit": F.lit(False), "fts_rank": F.lit(0.0)})
-    # NEAR counts in a batch function, which no lambda can hold
-    with_text = (lambda body: body(fold(F.col("text")))) if _has_near(tree) else (lambda body: let(fold(F.col("text")), body))
-    if stats is None:
-        phrases = [p for p, _ in scored_phrases(tree, F.lit(""))]
-        there = with_text(lambda t: F.array(*[p.match(t).cast("long") for p in phrases]))
-        sums = [F.coalesce(F.sum(F.get("_there", F.lit(i))), F.lit(0)).alias(f"n{i}") for i in range(len(phrases))]
-        counted = chunks.select(token_count(F.col("text")).alias("_tokens"), there.alias("_there"))
-        stats = counted.agg(F.count("*").alias("n"), F.coalesce(F.sum("_tokens"), F.lit(0)).alias("tokens"), *sums).first().asDict()
-    mean = stats["tokens"] / stats["n"] if stats["n"] and stats["tokens"] else 1.0
-
-    def judge(t: Column) -> Column:
-        norm = K1 * (1 - B + B * token_count(F.col("text")) / F.lit(float(mean)))
-        rank = F.lit(0.0)
-        for i, (_, count) in enumerate(scored_phrases(tree, t)):
-            rank = rank - F.lit(idf_of(stats["n"], stats[f"n{i}"])) * (count * F.lit(K1 + 1) / (count + norm))
-        return F.struct(matches(tree, t).alias("hit"), rank.alias("rank"))
-
-    return chunks.withColumn("_judged", with_text(judge)).withColumns({"_hit": F.col("_judged.hit"), "fts_rank": F.col("_judged.rank")}).drop("_judged")
+    phrases = scored_phrases(tree)
+    stats = stats or statistics(chunks, phrases)
+    idfs, mean = [idf_of(stats["n"], stats[f"n{i}"]) for i in range(len(phrases))], mean_of(stats["n"], stats["tokens"])
+
+    @F.pandas_udf("hit boolean, rank double")
+    def judge(texts: pd.Series) -> pd.DataFrame:
+        texts = [t or "" for t in texts]
+        seen = Seen([fold_text(t) for t in texts])
+        tokens = np.array([max(0, len(t) - 2) for t in texts], float)
+        return pd.DataFrame({"hit": matches(tree, seen), "rank": ranks(tree, seen, tokens, idfs, mean)})
+
+    # named so, a filter on the result does not run it a second time
+    judged = chunks.withColumn("_judged", judge.asNondeterministic()(F.col("text")))
+    return judged.withColumns({"_hit": F.col("_judged.hit"), "fts_rank": F.col("_judged.rank")}).drop("_judged")
 
 
 def uses_fallback(query: str, is_pattern: bool) -> bool:

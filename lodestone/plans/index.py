@@ -26,7 +26,7 @@ from lodestone.plans.store import Store
 from lodestone.sources import files as file_source
 from lodestone.sources import sessions
 
-SCHEMA_VERSION = "2"
+SCHEMA_VERSION = "3"
 SEGMENTS = 16
 #: A chunk's id is its file's id and its place there, so no two chunks share one.
 PLACE_BITS = 24
@@ -103,12 +103,15 @@ class Index:
         rows = self.spark.read.schema(schema).parquet(*paths)
         return self._without_gone(rows, file_id)
 
-    def _without_gone(self, rows: DataFrame, file_id: F.Column) -> DataFrame:
+    def _gone(self) -> DataFrame | None:
+        """Ids of files that later segments say are gone."""
         # the first segment names none, and one of an older version has no such table
         paths = [self.store.at(f"segment-{s}", "gone") for s in self.segments[1:]]
-        if not paths:
-            return rows
-        return rows.join(self.spark.read.schema("gone_id long").parquet(*paths), file_id == F.col("gone_id"), "left_anti")
+        return self.spark.read.schema("gone_id long").parquet(*paths) if paths else None
+
+    def _without_gone(self, rows: DataFrame, file_id: F.Column) -> DataFrame:
+        gone = self._gone()
+        return rows if gone is None else rows.join(gone, file_id == F.col("gone_id"), "left_anti")
 
     @property
     def files(self) -> DataFrame:
@@ -134,14 +137,16 @@ class Index:
         sums = self.files.agg(F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
         # bucket folders are partitions of each segment's table
         parts = []
-        for s in self.segments:
+        for place, s in enumerate(self.segments):
             rows = self.spark.read.schema(POSTING).parquet(self.store.at(f"segment-{s}", "postings"))
-            parts.append(rows)
+            # each segment numbers its blocks by itself, in fewer than 48 bits
+            parts.append(rows.withColumn("block", F.col("block") + F.lit(place << 48)))
         postings = parts[0]
         for more in parts[1:]:
             postings = postings.unionByName(more)
-        postings = self._without_gone(postings, F.shiftright("chunk_id", PLACE_BITS))
-        return TextIndex(postings, self.chunks.drop("embedding"), sums["n"], sums["tokens"])
+        gone = self._gone()
+        taken = None if gone is None else lambda rows: rows.join(gone, F.shiftright("chunk_id", PLACE_BITS) == F.col("gone_id"), "left_semi")
+        return TextIndex(postings, self.chunks.drop("embedding"), sums["n"], sums["tokens"], taken)
 
     def commit(self, files: DataFrame, chunks: DataFrame, gone: DataFrame, metadata: dict[str, str], fresh: bool, next_file: int) -> None:
         """Write a segment and then the manifest that counts it in, alone if ``fresh``; two writers cannot publish one version."""
@@ -162,7 +167,7 @@ class Index:
 
     def merge(self) -> None:
         """Write all that counts into one segment."""
-        self.commit(self.files.drop("n_chunks", "n_tokens"), self.chunks, self.files.limit(0), self.metadata, True, self.next_file)
+        self.commit(self.files.drop("n_chunks", "n_tokens"), self.chunks, self.files.limit(0), self.metadata | {"schema_version": SCHEMA_VERSION}, True, self.next_file)
 
     def vacuum(self) -> None:
         """Delete segments and manifests that the current version does not name; readers of older versions must be gone."""
@@ -189,6 +194,9 @@ def _begin(spark: SparkSession, path: str, model: Embedder, rebuild: bool, offli
     }
     if index.version and not (rebuild or offline):
         catalog.check_compatible([index.metadata, now])
+        if index.segments:
+            # its postings stay as that version wrote them, so searches scan until a merge or a rebuild
+            now["schema_version"] = index.metadata.get("schema_version", "1")
     now["created_at"] = index.metadata.get("created_at") or datetime.datetime.now(datetime.UTC).isoformat()
     if offline and index.segments:
         # readers find an empty index until the first files are there

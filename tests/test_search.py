@@ -103,6 +103,40 @@ def test_lookups_equal_scans(chunks, index, pattern):
     assert sorted((r.chunk_id, r.text, r.fts_rank) for r in got) == sorted(want, key=lambda w: w[0])
 
 
+@pytest.mark.parametrize("pattern", ['"abca" OR (dda AND bcd)', "NEAR(abc dda, 3)", "abcd NOT dda"])
+def test_texts_of_candidates_are_not_moved(spark, chunks, index, pattern, monkeypatch, tmp_path):
+    """Few candidates are handed to the texts; with many the texts are scanned in place, with the same ranks. Neither exchanges texts."""
+    want = [(r.chunk_id, pytest.approx(r.fts_rank, rel=1e-12)) for r in fts.fts_topk(chunks, pattern, 40, is_pattern=True).collect()]
+    chunks.write.parquet(f"{tmp_path}/chunks")
+    stored = lookup.TextIndex(index.postings, spark.read.parquet(f"{tmp_path}/chunks"), index.n, index.tokens)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for few in (lookup.FEW, 0):
+            monkeypatch.setattr(lookup, "FEW", few)
+            found = lookup.ranked(stored, pattern, is_pattern=True)
+            assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+            assert sorted((r.chunk_id, r.fts_rank) for r in found.orderBy("fts_rank", "chunk_id").limit(40).collect()) == sorted(want, key=lambda w: w[0])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_posting_rows_are_blocks(spark, tmp_path):
+    """A trigram that every chunk has is one row for some thousand chunks, and its bytes give the chunks back."""
+    texts = ["the thing " + "x" * (k % 300) for k in range(9000)] + ["", "th", "葡萄酒 the " + "é\U0001f600" * 3]
+    rows = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string").coalesce(1)
+    lookup.write_postings(rows, f"{tmp_path}/p")
+    index = lookup.TextIndex(spark.read.schema(lookup.POSTING).parquet(f"{tmp_path}/p"), rows, len(texts), sum(max(0, len(t) - 2) for t in texts))
+    blocks = index.postings.where("term = ''").count()
+    assert 3 <= blocks <= 4 and index.postings.where("term = 'the'").count() <= blocks
+    for query in ("the thing", "xxx", "葡萄酒", "é\U0001f600é"):
+        want = [(r.chunk_id, r.fts_rank) for r in fts.fts_topk(rows, query, 30).collect()]
+        assert [(r.chunk_id, r.fts_rank) for r in lookup.topk(index, query, 30).orderBy("fts_rank", "chunk_id").collect()] == want and want
+    values = lookup.np.array([1, 127, 128, 16383, 16384, 2**21, 2**28, 2**32 - 1, 5])
+    packed = lookup.pack(values, lookup.np.array([2, 8, 9])).to_pylist()
+    assert [lookup.unpack(b).tolist() for b in packed] == [[1, 127], values[2:8].tolist(), [5]]
+
+
 def test_lookups_prune_buckets(index):
     plan_ = index.postings.where((F.col("bucket") == 3) & (F.col("term") == "abc"))._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan_ and "PushedFilters: [IsNotNull(term), EqualTo(term,abc)]" in plan_
