@@ -60,13 +60,14 @@ def text_indexes(spark: SparkSession, sf_dir: str, by_language: bool = False) ->
         root = index_folder(spark)
         _chunks(spark, sf_dir).withColumn("shard", _language() if by_language else F.lit("all")).write.parquet(f"{root}/chunks")
         chunks = spark.read.parquet(f"{root}/chunks")
-        sums = chunks.groupBy("shard").agg(F.count("*").alias("n"), F.sum(fts.token_count(F.col("text"))).alias("tokens")).collect()
+        # a window is as long as its text
+        tokens = F.sum(F.greatest(F.lit(0), F.col("end_offset") - F.col("start_offset") - 2))
+        sums = chunks.groupBy("shard").agg(F.count("*").alias("n"), tokens.alias("tokens")).collect()
+        write_postings(chunks, f"{root}/postings", size=sum(row["tokens"] for row in sums), by="shard")
         found = {}
         for row in sums:
-            mine = chunks.where(F.col("shard") == row["shard"])
-            write_postings(mine, f"{root}/postings-{row['shard']}")
-            postings = spark.read.schema(POSTING).parquet(f"{root}/postings-{row['shard']}")
-            found[row["shard"]] = TextIndex(postings, mine.drop("shard"), row["n"], row["tokens"])
+            postings = spark.read.schema(POSTING).parquet(f"{root}/postings/shard={row['shard']}")
+            found[row["shard"]] = TextIndex(postings, chunks.where(F.col("shard") == row["shard"]).drop("shard"), row["n"], row["tokens"])
         _built[stamp] = found
     return _built[stamp]
 
