@@ -33,7 +33,11 @@ class PatternError(ValueError):
 
 
 def fold_text(text: str) -> str:
-    return text.translate({0x130: "i", 0x3A3: "σ"}).lower()
+    """Lower case, one code point for one; diacritics stay."""
+    if not text.isascii():
+        # many times faster than a translation of every character
+        text = text.replace("\u0130", "i").replace("\u03a3", "\u03c3")
+    return text.lower()
 
 
 def query_terms(query: str, most: int = MAX_TERMS) -> list[str]:
@@ -63,13 +67,14 @@ class Phrase:
     def is_gram(self) -> bool:
         return len(self.text) == 3 and not self.anchored
 
-    def count(self, text: str) -> int:
-        """Overlapping occurrences."""
+    def counts(self, texts: list[str]) -> Iterator[int]:
+        """Overlapping occurrences in each text."""
+        needle = self.text
         if self.anchored:
-            return int(text.startswith(self.text))
-        if any(self.text[:n] == self.text[-n:] for n in range(1, len(self.text))):
-            return len(places(text, self.text))
-        return text.count(self.text)
+            return (int(t.startswith(needle)) for t in texts)
+        if any(needle[:n] == needle[-n:] for n in range(1, len(needle))):
+            return (len(places(t, needle)) for t in texts)
+        return (t.count(needle) for t in texts)
 
 
 def places(text: str, phrase: str) -> list[int]:
@@ -283,7 +288,7 @@ class Seen:
     def count(self, phrase: Phrase) -> np.ndarray:
         key = (phrase.text, phrase.anchored)
         if key not in self._known:
-            self._known[key] = np.fromiter(map(phrase.count, self.texts), float, self.size)
+            self._known[key] = np.fromiter(phrase.counts(self.texts), float, self.size)
         return self._known[key]
 
     def near(self, tree: Near) -> np.ndarray:
@@ -344,11 +349,11 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").alias("n_chunks"), F.coalesce(F.sum(token_count(F.col("text"))), F.lit(0)).cast("long").alias("n_tokens"))
 
 
-def distinct_grams(texts: list[str], by_term: bool = False) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
-    """The distinct trigrams of each folded text: text, number of the term, the terms, how often.
+def distinct_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """The distinct trigrams of each folded text, by trigram and then text: text, number of the trigram, the trigrams, how often.
 
-    Ordered by text, or by term and then text. One sort of numbers that hold
-    text and trigram, which are made of the code points that occur.
+    One sort of numbers that hold trigram and text; trigrams are numbered by
+    the code points that occur.
     """
     lengths = np.array([len(t) for t in texts], np.int64)
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
@@ -369,50 +374,39 @@ def distinct_grams(texts: list[str], by_term: bool = False) -> tuple[np.ndarray,
     if not len(grams):
         return none, none, [], none
     names = None
-    if wide**3 * n >= 1 << 63:  # not with fewer than some 100,000 different letters
+    if wide**3 * n >= 1 << 63:  # only with some 100,000 different letters
         names, grams = np.unique(grams, return_inverse=True)
-    most = wide**3 if names is None else len(names)
-    keys = grams * n + row if by_term else row * most + grams
+    keys = grams * n + row
     keys.sort()
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     tf = np.diff(np.append(first, len(keys)))
     keys = keys[first]
-    grams, row = (keys // n, keys % n) if by_term else (keys % most, keys // most)
-    if by_term:
-        new = np.concatenate([[True], grams[1:] != grams[:-1]])
-        known, number = grams[new], np.cumsum(new) - 1
-    elif most <= 1 << 22:
-        table = np.zeros(most, np.int32)
-        table[grams] = 1
-        known = np.flatnonzero(table)
-        table[known] = np.arange(len(known))
-        number = table[grams]
-    else:
-        known, number = np.unique(grams, return_inverse=True)
-    known = known if names is None else names[known]
+    grams, row = keys // n, keys % n
+    new = np.concatenate([[True], grams[1:] != grams[:-1]])
+    known = grams[new] if names is None else names[grams[new]]
     text = letters[np.stack([known // (wide * wide), known // wide % wide, known % wide], axis=1)].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-    return row, number, [text[i : i + 3] for i in range(0, len(text), 3)], tf
+    return row, np.cumsum(new) - 1, [text[i : i + 3] for i in range(0, len(text), 3)], tf
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Trigram counts of all texts of a batch at once, in slices that bound the arrays."""
+    """Trigram counts of all texts of a batch at once, in slices that bound the arrays: a row for each trigram of a slice, with its chunks as a list."""
     for whole in batches:
         for begin in range(0, len(whole), 1024):
             batch = whole.slice(begin, 1024)
-            texts = [fold_text(t or "") for t in batch.column("text").to_pylist()]
-            row, number, known, tf = distinct_grams(texts)
-            if not len(row):
+            row, number, terms, tf = distinct_grams([fold_text(t or "") for t in batch.column("text").to_pylist()])
+            if not terms:
                 continue
-            terms = pa.DictionaryArray.from_arrays(pa.array(number.astype(np.int32)), pa.array(known, pa.string())).cast(pa.string())
-            lengths = np.array([len(t) for t in texts], np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [terms, batch.column("chunk_id").take(pa.array(row)), pa.array(tf.astype(np.int64)), pa.array(lengths[row] - 2)], ["term", "chunk_id", "tf", "tokens"]
-            )
+            cuts = pa.array(np.searchsorted(number, np.arange(len(terms) + 1)).astype(np.int32))
+            ids = pa.ListArray.from_arrays(cuts, batch.column("chunk_id").take(pa.array(row)))
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), ids, pa.ListArray.from_arrays(cuts, pa.array(tf.astype(np.int32)))], ["term", "ids", "tfs"])
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """term, chunk_id, tf, tokens: every folded trigram of every chunk and the chunk's length in trigrams, counted where the chunk is, without a shuffle."""
-    return chunks.select("chunk_id", "text").mapInArrow(_count_grams, "term string, chunk_id long, tf long, tokens long")
+    """term, chunk_id, tf: every folded trigram of every chunk, counted where the chunk is, without a shuffle."""
+    # lists cross over from Python in far less time than their elements as rows
+    lists = chunks.select("chunk_id", "text").mapInArrow(_count_grams, "term string, ids array<long>, tfs array<int>")
+    rows = lists.select("term", "tfs", F.posexplode("ids").alias("at", "chunk_id"))
+    return rows.select("term", "chunk_id", F.get("tfs", F.col("at")).cast("long").alias("tf"))
 
 
 def tree_of(query: str, is_pattern: bool):

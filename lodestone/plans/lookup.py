@@ -65,7 +65,7 @@ def unpack(data: bytes) -> np.ndarray:
 def _block(shard: str, block: int, ids: list[int], texts: list[str]) -> pa.RecordBatch:
     """The posting rows of one block."""
     tokens = np.array([max(0, len(t) - 2) for t in texts], np.int32)
-    row, number, terms, tf = fts.distinct_grams(texts, by_term=True)
+    row, number, terms, tf = fts.distinct_grams(texts)
     heads = [pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([tokens.tobytes()], pa.binary())]
     counts = np.array([len(ids)], np.int32)
     if terms:

@@ -162,6 +162,27 @@ def test_postings_count_overlapping_trigrams(chunks, corpus):
     assert got == want
 
 
+def test_postings_cross_over_as_lists(spark):
+    """A slice of texts gives one row for each of its trigrams, not one for each text that has it."""
+    texts = ["the thing that", None, "ab", "THE", "İΣσ the", "\U0001f600ab\U0001f600ab"] * 50
+    rows = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string").coalesce(1)
+    batch = lookup.pa.RecordBatch.from_pylist([r.asDict() for r in rows.collect()])
+    lists = [r for made in fts._count_grams([batch]) for r in made.to_pylist()]
+    assert len(lists) == len({r["term"] for r in lists}) and sum(len(r["ids"]) for r in lists) > 10 * len(lists)
+    want = {}
+    for i, text in enumerate(texts):
+        folded = fts.fold_text(text or "")
+        for k in range(len(folded) - 2):
+            want[i, folded[k : k + 3]] = want.get((i, folded[k : k + 3]), 0) + 1
+    assert {(r.chunk_id, r.term): r.tf for r in fts.postings(rows).collect()} == want
+
+
+def test_a_scan_judges_each_text_once(chunks):
+    """The filter on matches does not run the judging function a second time."""
+    plan_ = fts.fts_topk(chunks, "abcd", 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan_.count("ArrowEvalPython") == 1 and "lower(" not in plan_
+
+
 @pytest.fixture(scope="module")
 def vectors(spark, corpus):
     random.seed(5)
