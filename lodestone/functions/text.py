@@ -1,4 +1,4 @@
-"""Column functions over text: folding, snippets, prefixes, line numbers."""
+"""Column functions over text: ASCII folding, snippets, prefixes, line numbers."""
 
 from __future__ import annotations
 
@@ -22,11 +22,6 @@ PREFIXES = {
 }
 
 
-def fold(text: Column) -> Column:
-    """Lower case, one code point for one: the folding of the trigram index. Diacritics stay."""
-    return F.lower(F.translate(text, "İΣ", "iσ"))
-
-
 def ascii_fold(text: Column) -> Column:
     """A to Z as a to z and nothing else: the folding of the substring fallback."""
     return F.translate(text, _UPPER, _LOWER)
