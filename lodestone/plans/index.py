@@ -28,6 +28,8 @@ from lodestone.sources import sessions
 
 SCHEMA_VERSION = "3"
 SEGMENTS = 16
+#: Ids of files that are broadcast at most, at 8 bytes each.
+MOST_GONE = 2_000_000
 #: A chunk's id is its file's id and its place there, so no two chunks share one.
 PLACE_BITS = 24
 _FILES = "path string, root_path string, relative_path string, size long, mtime_ns long, content_hash string, file_id long, n_chunks long, n_tokens long"
@@ -111,7 +113,11 @@ class Index:
 
     def _without_gone(self, rows: DataFrame, file_id: F.Column) -> DataFrame:
         gone = self._gone()
-        return rows if gone is None else rows.join(gone, file_id == F.col("gone_id"), "left_anti")
+        if gone is None:
+            return rows
+        # so many ids are handed to all tasks, and chunks stay where they are; more are joined by an exchange
+        gone = F.broadcast(gone) if gone.count() <= MOST_GONE else gone
+        return rows.join(gone, file_id == F.col("gone_id"), "left_anti")
 
     @property
     def files(self) -> DataFrame:
@@ -159,7 +165,8 @@ class Index:
         counted = files.join(per, "file_id", "left").fillna(0, ["n_chunks", "n_tokens"]).select(*[c.split()[0] for c in _FILES.split(", ")])
         counted.write.parquet(self.store.at(name, "files"))
         gone.select(F.col("file_id").alias("gone_id")).write.parquet(self.store.at(name, "gone"))
-        write_postings(chunks, self.store.at(name, "postings"))
+        size = self.spark.read.schema(_FILES).parquet(self.store.at(name, "files")).agg(F.sum("n_tokens")).first()[0]
+        write_postings(chunks, self.store.at(name, "postings"), size=size or 0)
         segments = [version] if fresh else [*self.segments, version]
         manifest = {"version": version, "metadata": metadata, "segments": segments, "next_file": next_file}
         self.store.publish(f"manifest-{version}.json", json.dumps(manifest))

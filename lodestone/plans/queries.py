@@ -88,13 +88,13 @@ def _chunk_vectors(spark: SparkSession, sf_dir: str, chunks: DataFrame) -> DataF
     return chunks.select("chunk_id", "doc_id").join(vectors, "doc_id").select("chunk_id", "embedding")
 
 
-def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as indexed files below one root a source."""
+def _files(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Documents as indexed files below one root a source, with ``more`` of their columns."""
     name = F.concat(F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".txt"))
     return _table(spark, sf_dir, "documents").select(
         F.concat(F.lit("/"), F.col("source"), F.lit("/"), name).alias("path"), F.concat(F.lit("/"), F.col("source")).alias("root_path"), name.alias("relative_path"),
         F.octet_length("text").cast("long").alias("size"), (F.col("doc_id") * 1000).alias("mtime_ns"), tx.content_hash(F.col("text")).alias("content_hash"),
-        "doc_id",
+        "doc_id", *more,
     )
 
 
@@ -246,13 +246,16 @@ def changed_by_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that count in an index of two segments: the second has other texts for some files and names others as gone."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     files = _files(spark, sf_dir)
+    docs = _files(spark, sf_dir, "text").select("doc_id", "path", "text").where("doc_id IS NOT NULL")
+    if docs.groupBy("doc_id").count().where("count > 1").first():
+        # an id that is not one file's: each of its files has all of its texts; else a row has its path, and no text is moved to it
+        docs = docs.drop("path").join(files.select("doc_id", "path"), "doc_id")
     taken = (docs.agg(F.max("doc_id")).first()[0] or 0) + 1
     index = Index(spark, index_folder(spark))
 
     def add(some: DataFrame, shift: int, gone: DataFrame, fresh: bool) -> None:
-        named = some.join(files.select("doc_id", "path"), "doc_id").withColumn("file_id", F.col("doc_id") + shift)
+        named = some.withColumn("file_id", F.col("doc_id") + shift)
         cut = window_chunks(named, ["path", "file_id"]).withColumn("chunk_id", F.shiftleft("file_id", PLACE_BITS) + F.col("chunk_index"))
         cut = cut.withColumns({name: F.lit(None).cast(kind) for name, kind in {**SESSION, "embedding": "array<float>"}.items()})
         states = files.join(some.select("doc_id"), "doc_id", "left_semi").withColumn("file_id", F.col("doc_id") + shift)

@@ -11,7 +11,7 @@ import pytest
 
 from lodestone.operators import embedding, fts
 from lodestone.operators.embedding import HashingProvider
-from lodestone.plans import lookup
+from lodestone.plans import lookup, queries
 from lodestone.plans.index import Index, check_session_index, index_paths, index_sessions
 from lodestone.plans.search import resolve, search_many
 from lodestone.plans.service import Service, messages
@@ -100,6 +100,42 @@ def test_segments(spark, tmp_path):
     assert sorted(os.listdir(path)) == ["manifest-5.json", "segment-5"] or {n for n in os.listdir(path) if not n.startswith(".")} == {"manifest-5.json", "segment-5"}
 
 
+def test_chunks_are_not_moved_to_tombstones(spark, tmp_path, monkeypatch):
+    """Few ids of files that are gone reach the chunks by broadcast, whatever Spark's own limit is; more by an exchange, with the same rows."""
+    from lodestone.plans import index as module
+
+    rows = [(k, f"text {k} of a file", "en", f"s{k % 2}", 20) for k in range(40)] + [(40, None, "en", "s0", 0), (41, " ", None, "s1", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted((f"/s{k % 2}/{k:09}.txt", ("New " if k % 7 == 2 else "") + text) for k, text, *_ in rows[:40] if k % 5 != 1)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (module.MOST_GONE, 0):
+            monkeypatch.setattr(module, "MOST_GONE", most)
+            found = queries.index_segments(spark, str(tmp_path))
+            assert ("SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()) == (most == 0)
+            assert sorted((r.path, r.text) for r in found.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_an_older_version_is_scanned_until_it_is_merged(spark, tmp_path):
+    """A run that adds to segments whose postings are of an older version does not read these as new ones."""
+    root, path, provider = str(tmp_path / "r"), str(tmp_path / "i"), HashingProvider(dim=4)
+    put(f"{root}/a.txt", "first words")
+    index_paths(spark, path, [root], provider)
+    manifest = json.load(open(f"{path}/manifest-1.json"))
+    manifest["metadata"]["schema_version"] = "2"
+    put(f"{path}/manifest-1.json", json.dumps(manifest))
+    os.remove(f"{path}/.manifest-1.json.crc")
+    put(f"{root}/b.txt", "second words")
+    index_paths(spark, path, [root], provider)
+    index = Index.open(spark, path)
+    assert index.segments == [1, 2] and index.text is None
+    index.merge()
+    assert lookup.topk(Index.open(spark, path).text, "words", 5).count() == 2
+
+
 def test_two_writers_cannot_publish_one_version(spark, tmp_path):
     from lodestone.plans.store import Store
 
