@@ -137,6 +137,33 @@ def test_posting_rows_are_blocks(spark, tmp_path):
     assert [lookup.unpack(b).tolist() for b in packed] == [[1, 127], values[2:8].tolist(), [5]]
 
 
+def _stages(spark) -> list:
+    """What Spark still knows of its stages; it forgets the oldest first."""
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    none = jvm.java.util.ArrayList()
+    found = sc.statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none)
+    return [found.apply(i) for i in range(found.size())]
+
+
+def test_what_a_literal_search_moves_follows_the_texts(spark, tmp_path):
+    """With the build of its index a search shuffles, spills and writes a few bytes for each character, at four times the table too."""
+    random.seed(11)
+    words = ["".join(random.choice("etaoinshrdlu") for _ in range(random.randint(2, 9))) for _ in range(3000)] + ["the", "thing", "that"] * 50
+    texts = [" ".join(random.choices(words, k=random.randint(20, 300))) for _ in range(800)]
+    moved = []
+    for copies in (1, 4):
+        rows = [(i * len(texts) + k, text, "en", "s", len(text)) for i in range(copies) for k, text in enumerate(texts)]
+        table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+        table.write.parquet(f"{tmp_path}/{copies}/documents.parquet")
+        want = queries.fts_scan_topk(spark, f"{tmp_path}/{copies}").collect()
+        last = max(s.stageId() for s in _stages(spark))
+        assert sorted(queries.fts_literal_topk(spark, f"{tmp_path}/{copies}").collect()) == sorted(want) and len(want) == 10
+        moved.append(sum(s.shuffleWriteBytes() + s.diskBytesSpilled() + s.outputBytes() for s in _stages(spark) if s.stageId() > last))
+        assert moved[-1] < 6 * copies * sum(map(len, texts))
+    assert moved[1] < 4.2 * moved[0]
+
+
 def test_lookups_prune_buckets(index):
     plan_ = index.postings.where((F.col("bucket") == 3) & (F.col("term") == "abc"))._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan_ and "PushedFilters: [IsNotNull(term), EqualTo(term,abc)]" in plan_
